@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import distinctive_terms, encoding, leaks, quality
+from corpusloom.llm import distinctive_terms, encoding, leaks, neighbors, quality
 
-_MODULES = (encoding, distinctive_terms, leaks, quality)
+_MODULES = (encoding, distinctive_terms, leaks, neighbors, quality)
 
 
 def queries() -> dict:
