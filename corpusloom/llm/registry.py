@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import distinctive_terms, encoding, leaks, neighbors, quality
+from corpusloom.llm import clusters, distinctive_terms, encoding, leaks, neighbors, quality, turns
 
-_MODULES = (encoding, distinctive_terms, leaks, neighbors, quality)
+_MODULES = (encoding, distinctive_terms, leaks, neighbors, clusters, quality, turns)
 
 
 def queries() -> dict:
