@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import clusters, distinctive_terms, encoding, leaks, names, neighbors, quality, turns
+from corpusloom.llm import clusters, distinctive_terms, encoding, leaks, names, neighbors, packing, quality, turns
 
-_MODULES = (names, encoding, distinctive_terms, leaks, neighbors, clusters, quality, turns)
+_MODULES = (names, encoding, distinctive_terms, leaks, neighbors, clusters, packing, quality, turns)
 
 
 def queries() -> dict:
