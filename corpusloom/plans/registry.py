@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import skewed_keys
+from corpusloom.plans import skewed_keys, statistics
 
-_MODULES = (skewed_keys,)
+_MODULES = (statistics, skewed_keys)
 FLAGSHIP = "yearly_group_share"
 
 
