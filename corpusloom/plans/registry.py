@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import skewed_keys, statistics
+from corpusloom.plans import skewed_keys, statistics, stored, trends
 
-_MODULES = (statistics, skewed_keys)
+_MODULES = (statistics, trends, stored, skewed_keys)
 FLAGSHIP = "yearly_group_share"
 
 

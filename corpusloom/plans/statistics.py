@@ -20,7 +20,7 @@ THEMES = {
 
 
 def clean_rows(s: SparkSession, d: str) -> DataFrame:
-    return prepared(s, d).select("id", "data_dt", "ano", "mes", "partido", "espectro7", "espectro", "regiao")
+    return prepared(s, d).select("id", F.date_format("data_dt", "yyyy-MM-dd").alias("data_dt"), "ano", "mes", "partido", "espectro7", "espectro", "regiao")
 
 
 def yearly_count(s: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def _key_rx(k: str) -> str:
 
 _ALL = sorted(dict.fromkeys(map(T.keyword_body, KEYWORDS)), key=len, reverse=True)
 SQL = {
-    "clean_rows": _with("SELECT id, data_dt, ano, mes, partido, espectro7, espectro, regiao FROM clean"),
+    "clean_rows": _with("SELECT id, CAST(data_dt AS VARCHAR) AS data_dt, ano, mes, partido, espectro7, espectro, regiao FROM clean"),
     "yearly_count": _with(_COUNT.format("ano")),
     "yearly_group_count": _with("SELECT ano, espectro, count(*) AS n FROM clean GROUP BY 1, 2"),
     "yearly_group_share": _with("""SELECT a.ano, e.espectro, count(c.id) AS n, round(100.0 * count(c.id) / sum(count(c.id)) OVER (PARTITION BY a.ano), 6) AS pct FROM (SELECT DISTINCT ano FROM clean) a
