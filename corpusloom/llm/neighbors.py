@@ -29,6 +29,8 @@ K_NEIGHBOURS = 5
 FIT_SAMPLE = 20_000
 #: Entries and queries of one matrix product.
 BLOCK = 16_384
+#: Vectors packed at a time, and queries merged in one group, to bound what a worker holds.
+SEND_ROWS, MERGE_QUERIES = 2_048, 5_000
 SEED = 7
 
 
@@ -140,7 +142,7 @@ def _send(shared):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan = shared.value
-        for pdf in batches:
+        for pdf in (big.iloc[i : i + SEND_ROWS] for big in batches for i in range(0, len(big), SEND_ROWS)):
             out = []
             for (model, width), g in pdf.assign(width=pdf["unit"].map(len)).groupby(["model", "width"]):
                 p = plan[(model, int(width))]
@@ -265,7 +267,7 @@ def search(cls: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
         p["counts"] = p["counts"].tolist()
     shared = spark.sparkContext.broadcast(plan)
     sent = cls.select("model", "class_id", "unit").repartition(max(shuffle_parts(spark), 12)).mapInPandas(_send(shared), _SENT)
-    buckets = max(shuffle_parts(spark), -(-parts // 20_000))
+    buckets = max(shuffle_parts(spark), -(-parts // MERGE_QUERIES))
     met = sent.groupBy("model", "width", "cell", "eb", "qb").applyInPandas(_meet(k, buckets), "model string, bucket int, q binary, n binary, s binary")
     return met.groupBy("model", "bucket").applyInPandas(_merge(k), schema)
 
