@@ -49,7 +49,7 @@ def encode(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], words:
             if not parts:
                 continue
             v = pd.DataFrame(encoder([c for _, c in parts]))
-            m = v.groupby([i for i, _ in parts], sort=False).mean()
+            m = v.groupby(np.array([i for i, _ in parts]), sort=False).mean()
             u = m.to_numpy() / np.maximum(np.linalg.norm(m.to_numpy(), axis=1, keepdims=True), 1e-12)
             yield pd.DataFrame({"id": m.index.to_numpy(), "vector": list(u.astype(np.float32))})
 
