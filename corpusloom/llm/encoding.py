@@ -29,6 +29,8 @@ SIGNS = "§ºª–—“”‘’…°€"
 NATURAL = "áàâãéèêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ§ºª–—“”‘’…°"
 _UPPER = "ÁÀÂÃÉÊÍÓÔÕÚÜÇ"
 
+WORDS_OF_ONE = "àéóáêÀÉÓÁÊ"
+
 #: (written as, read as) of each chain; a pair of pairs was read wrongly twice.
 CHAINS = {
     "utf8>cp1252": [("utf-8", "cp1252")],
@@ -95,19 +97,19 @@ def _inverse(chain: str) -> tuple[dict[str, str], re.Pattern]:
     return out, re.compile("|".join(map(re.escape, sorted(out, key=len, reverse=True))))
 
 
-def _suspects(text: str) -> list[str]:
-    """The runs of non-ASCII characters that correct text would not have."""
+def _suspects(text: str) -> list[tuple[str, bool]]:
+    """The runs of non-ASCII characters that correct text would not have, and whether each stands alone, without a letter beside it."""
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
         at = text[m.start() - 1 : m.end() + 1] if m.start() else text[: m.end() + 1]
         if _RX["s"].search(at) and run.strip("̧̀́̂̃̈"):
-            out.append(run)
+            out.append((run, not (text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha())))
     return out
 
 
-def _in_order(run: str, chain: str) -> list[str] | None:
-    """The characters a run restores to under a chain, null if part of it is not explained."""
+def _in_order(run: str, alone: bool, chain: str) -> list[str] | None:
+    """The characters a run restores to under a chain, null if part of it is not explained or one lone sign would be a letter that is no word."""
     back, rx = _inverse(chain)
     out, at = [], 0
     for m in rx.finditer(run):
@@ -118,6 +120,8 @@ def _in_order(run: str, chain: str) -> list[str] | None:
         at = m.end()
     if not out or any(c not in NATURAL for c in run[at:]):
         return None
+    if alone and len(run) == 1 and out[0] in LETTERS and out[0] not in WORDS_OF_ONE:
+        return None
     return out + [KEPT] * (len(run) - at)
 
 
@@ -132,20 +136,20 @@ def evidence(text: str, field: str) -> tuple[int, list[tuple[str, int, list[str]
     total = len(runs) + marks
     if not total:
         return 0, out
-    lost = sum("�" in r for r in runs)
+    lost = sum("�" in r for r, _ in runs)
     if lost:
         out.append(("lost>replacement", total - lost, ["�"] * lost))
     if marks:
         out.append(("lost>question", total - marks, ["?"] * marks))
-    distinct: dict[str, int] = {}
+    distinct: dict[tuple[str, bool], int] = {}
     for r in runs:
-        if "�" not in r:
+        if "�" not in r[0]:
             distinct[r] = distinct.get(r, 0) + 1
     for chain in CHAINS if distinct else ():
         chars: list[str] = []
         left = marks + lost
         for r, n in distinct.items():
-            got = _in_order(r, chain)
+            got = _in_order(*r, chain)
             if got is None:
                 left += n
             else:

@@ -157,6 +157,8 @@ def kind_of(s) -> str:
         return "junk"
     if s["n_words"] >= 8 and s["common_share"] < 0.02 and s["list_share"] < 0.5 and s["mean_word"] > 12:
         return "junk"
+    if s["clausal_share"] > 0.12 and s["common_share"] > 0.4 and s["table_share"] < 0.3:
+        return "prose"  # sentences broken over very short lines
     if s["list_share"] > 0.5 or (s["list_share"] > 0.35 and s["list_lines"] > 0.75):
         return "list"
     if s["list_share"] + s["table_share"] > 0.6:
