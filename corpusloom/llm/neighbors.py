@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float32)
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors brought to length 1, whole batches at a time; those without a direction go."""
+    for b in batches:
+        col = b.column("vector")
+        lens = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(lens):
+            continue
+        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.append(0, np.cumsum(lens))
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt(np.add.reduceat(x * x, starts[:-1]))
+            unit = (x / np.repeat(np.where(norm > 0, norm, 1), lens)).astype(np.float32)
+        keep = np.isfinite(norm) & (norm > 0)
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(unit))
+        out = pa.RecordBatch.from_arrays([b.column("model"), b.column("speech_id"), lists], ["model", "speech_id", "unit"])
+        yield out.filter(pa.array(keep))
+
+
 def units(vectors: DataFrame) -> DataFrame:
     """(model, speech_id, h, unit): the usable vectors brought to length 1, with a hash of them.
 
@@ -101,10 +121,8 @@ def units(vectors: DataFrame) -> DataFrame:
     out, as are null ids or models.
     """
     v = vectors.select("model", F.col("speech_id").cast("long").alias("speech_id"), F.col("vector").cast("array<float>").alias("vector"))
-    v = v.filter("model IS NOT NULL AND speech_id IS NOT NULL AND size(vector) > 1 AND NOT exists(vector, x -> x IS NULL OR isnan(x))")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = v.withColumn("norm", norm).filter("norm > 0 AND norm < double('infinity')")
-    v = v.withColumn("unit", F.expr("transform(vector, x -> float(x / norm))"))
+    v = v.filter("model IS NOT NULL AND speech_id IS NOT NULL AND size(vector) > 1")
+    v = v.mapInArrow(_units, "model string, speech_id long, unit array<float>")
     return v.select("model", "speech_id", F.xxhash64("unit").alias("h"), "unit")
 
 
