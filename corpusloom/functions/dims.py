@@ -112,3 +112,12 @@ def spectrum_of(party: str, classes: dict[str, str] | None = None) -> str:
     """The seven-way class of one party name."""
     name = canonical_spellings(classes).get(party.strip().upper(), party.strip())
     return {**PARTY_CLASS, **(classes or {})}.get(name, NO_CLASS)
+
+
+#: Later names of parties. Off by default, since a renamed party is another party in time.
+RENAMED = {"PFL": "UNIAO", "DEM": "UNIAO", "PTN": "PODE", "PMR": "REPUBLICANOS", "PSL": "UNIAO", "PMDB": "MDB", "PTdoB": "AVANTE", "PHS": "PODE", "SOLIDARIEDAD": "SOLIDARIEDADE", "PEN": "PATRIOTA", "PPB": "PROGRESSISTAS", "PCDOB": "PCdoB"}
+
+
+def renamed(party: Column) -> Column:
+    """A party under its later name, others unchanged."""
+    return F.coalesce(lookup(RENAMED, party), party)

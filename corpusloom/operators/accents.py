@@ -53,3 +53,9 @@ def expand(stem: str, rules: dict[str, list[tuple[str, str, str]]], flags: str,
         } - out
         out |= edge
     return {w for w in out if re.fullmatch(r"[a-záàâãéêíóôõúüç]+", w)}
+
+
+def enclitic_stem(strip: str, add: str) -> bool:
+    """Whether a suffix rule only turns an infinitive's last vowel into the accented stem before a joined pronoun (votar, votá-)."""
+    plain = add.translate(str.maketrans("áâéêíóôú", "aaeeioou"))
+    return strip.endswith("r") and plain == strip[:-1] and add != plain

@@ -72,7 +72,8 @@ def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def speaker_profile(s: SparkSession, d: str) -> DataFrame:
-    return corpus.top_speakers(prepared(s, d)).select("orador", "partido", "uf", "espectro", "discursos")
+    t = corpus.top_speakers(prepared(s, d))
+    return t.select(T.squeeze(T.fold(F.col("orador"))).alias("speaker"), "partido", "uf", "espectro", "discursos")
 
 
 def dict_codes(s: SparkSession, d: str) -> DataFrame:
@@ -224,4 +225,18 @@ SELECT espectro, word, n FROM (SELECT espectro, word, count(*) AS n, row_number(
 t AS (SELECT *, sum(n) OVER (PARTITION BY espectro) AS total, sum(n) OVER (PARTITION BY word) AS f, count(*) OVER (PARTITION BY word) AS classes FROM c), a AS (SELECT sum(n)::DOUBLE / count(DISTINCT espectro) AS avg_words FROM c)
 SELECT espectro, word, weight FROM (SELECT espectro, word, round(sqrt(n / total) * ln(1 + avg_words / f), 6) AS weight, row_number() OVER (PARTITION BY espectro ORDER BY sqrt(n / total) * ln(1 + avg_words / f) DESC, word) AS r FROM t, a WHERE classes >= 2) WHERE r <= 25"""),
 }
+_WORDS = r"list_filter(regexp_extract_all(lower(discurso), '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda x: regexp_full_match(x, '[\p{L}\p{M}]{2,}'))"
+_FORM = "regexp_replace(strip_accents(form), '[\\x{0300}-\\x{036F}]', '', 'g')"
+SQL["ubiquitous_words"] = _with(f""", w AS (SELECT id, unnest(list_distinct({_WORDS})) AS form FROM clean WHERE discurso IS NOT NULL), f AS (SELECT id, form, {_FORM} AS b FROM w),
+k AS (SELECT id, form, CASE WHEN b LIKE '%s' AND length(b) > 3 THEN left(b, length(b) - 1) ELSE b END AS key FROM f), d AS (SELECT key, count(DISTINCT id) AS n_docs FROM k GROUP BY 1)
+SELECT DISTINCT form, key, n_docs FROM k JOIN d USING (key) WHERE n_docs >= 0.5 * (SELECT count(*) FROM clean WHERE discurso IS NOT NULL)""")
+SQL["term_diversity"] = _with(f""", w AS (SELECT espectro, {_LONG} AS word FROM clean WHERE discurso IS NOT NULL),
+t AS (SELECT word FROM (SELECT espectro, word, row_number() OVER (PARTITION BY espectro ORDER BY count(*) DESC, word) AS r FROM w WHERE word NOT IN {_stop(dims.stopwords())} GROUP BY 1, 2) WHERE r <= 10)
+SELECT round(count(DISTINCT word) / count(*), 4) AS diversity, count(*) AS n FROM t""")
+SQL["speaker_profile"] = _with(r""", d AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(orador)), '[\x{0300}-\x{036F}]', '', 'g'), '\s+', ' ', 'g')) AS chave, trim(orador) AS nome, coalesce(partido, '?') AS p FROM clean WHERE coalesce(partido, '?') <> 'CONVIDADO' AND orador IS NOT NULL),
+top AS (SELECT chave, count(*) AS discursos FROM d WHERE chave <> '' GROUP BY 1 ORDER BY discursos DESC, chave LIMIT 10),
+pp AS (SELECT chave, p, count(*) AS n, max(struct_pack(a := data_dt, b := id)) AS seen, arg_min(espectro, struct_pack(a := data_dt, b := id)) AS espectro FROM d GROUP BY 1, 2),
+bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chave ORDER BY n DESC, seen DESC) AS r FROM pp) WHERE r = 1),
+uf AS (SELECT * FROM (SELECT chave, estado, row_number() OVER (PARTITION BY chave ORDER BY count(*) DESC, estado DESC) AS r FROM d WHERE estado IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
+SELECT t.chave AS speaker, bp.p AS partido, coalesce(uf.estado, '') AS uf, bp.espectro, t.discursos FROM top t JOIN bp USING (chave) LEFT JOIN uf USING (chave)""")
 SQL = {k: v.replace(") , ", "), ") for k, v in SQL.items()}

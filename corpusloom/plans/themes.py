@@ -184,6 +184,9 @@ SELECT t.partido, any_value(m.espectro) AS espectro, t.topic, any_value(p.total)
 core AS (SELECT id, cluster AS topic FROM r WHERE run = 0), z AS (SELECT topic, count(*) AS size FROM core GROUP BY 1), per AS (SELECT run, cluster, topic, count(*) AS n FROM r JOIN core USING (id) GROUP BY ALL),
 t AS (SELECT r.id, per.topic, sum(n) AS n FROM r JOIN per USING (run, cluster) GROUP BY ALL), own AS (SELECT id, count(*) AS k FROM r GROUP BY 1)
 SELECT id, CAST(t.topic AS BIGINT) AS topic, value FROM (SELECT t.id, t.topic, round((n - (core.topic = t.topic)::INT * k) / 3.0::DOUBLE / (size - (core.topic = t.topic)::INT), 8) AS value FROM t JOIN z USING (topic) JOIN core ON core.id = t.id JOIN own ON own.id = t.id) t WHERE value > 0""",
+    "speaker_parse": r"""WITH o AS (SELECT trim(regexp_replace(orador, '\s+', ' ', 'g')) AS o, '^(.+?),\s*([^,]+?)\s*-\s*([A-Z]{2})$' AS rx FROM speeches)
+SELECT DISTINCT CASE WHEN o IS NULL OR o = '' THEN 'SEM NOME' WHEN regexp_matches(o, rx) THEN regexp_extract(o, '^(.+?),\s*([^,]+?)\s*-\s*([A-Z]{2})$', 1) ELSE o END AS orador,
+CASE WHEN o <> '' AND regexp_matches(o, rx) THEN regexp_extract(o, '^(.+?),\s*([^,]+?)\s*-\s*([A-Z]{2})$', 2) ELSE 'CONVIDADO' END AS partido, CASE WHEN o <> '' AND regexp_matches(o, rx) THEN regexp_extract(o, '^(.+?),\s*([^,]+?)\s*-\s*([A-Z]{2})$', 3) ELSE '' END AS estado FROM o""",
     "keyword_filter": "SELECT id FROM speeches WHERE regexp_matches(lower(discurso), 'feminicídio|violência doméstica')",
     "iso_dates": r"SELECT id, coalesce(CAST(CAST(CASE WHEN regexp_full_match(data, '\d{1,2}/\d{1,2}/\d{4}') THEN try_strptime(data, '%d/%m/%Y') END AS DATE) AS VARCHAR), '') AS iso FROM speeches",
     "chunk_lengths": r"""WITH w AS (SELECT id, len(list_filter(regexp_split_to_array(discurso, '\s+'), lambda x: x <> '')) AS n FROM speeches WHERE regexp_matches(discurso, '\S')),
