@@ -13,6 +13,7 @@ blocks of both, so no task sees an unbounded cell, and nothing is left out.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 from collections.abc import Iterator
@@ -37,11 +38,12 @@ SEED = 7
 
 
 def centroids_per_half(n: int) -> int:
-    return max(4, min(96, round(math.sqrt(n) / 10) + 6))
+    """More cells for more vectors up to a point: beyond it cells grow instead, since each cell a query walks to costs a copy of the query."""
+    return max(4, min(32, round(math.sqrt(n) / 10) + 6))
 
 
 def candidates_per_query(n: int) -> int:
-    return math.ceil(2.2 * n**0.66) + 60
+    return math.ceil(max(1.9 * n**0.66 + 60, 0.025 * n))
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 12) -> np.ndarray:
@@ -266,6 +268,9 @@ def search(cls: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
         picked = own.filter(F.pmod(F.xxhash64("class_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else own
         sample = picked.select("class_id", "unit").limit(2 * FIT_SAMPLE).toPandas().sort_values("class_id")
         plan[(model, width)] = {"centroids": _fit(sample, n), "want": candidates_per_query(n)}
+        del sample
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         parts += n
     centroids = spark.sparkContext.broadcast({key: p["centroids"] for key, p in plan.items()})
 
