@@ -43,7 +43,7 @@ def centroids_per_half(n: int) -> int:
 
 
 def candidates_per_query(n: int) -> int:
-    return math.ceil(max(1.9 * n**0.66 + 60, 0.025 * n))
+    return math.ceil(1.9 * n**0.66) + 60
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 12) -> np.ndarray:
@@ -218,7 +218,7 @@ def _meet(k: int, buckets: int):
                 ids = qids[at : at + 1024]
                 sim = qm[at : at + 1024] @ em.T
                 m = min(k + 1, len(eids))
-                top = np.argpartition(-sim, m - 1, axis=1)[:, :m] if m < len(eids) else np.tile(np.arange(m), (len(ids), 1))
+                top = np.argpartition(sim, len(eids) - m, axis=1)[:, len(eids) - m :] if m < len(eids) else np.tile(np.arange(m), (len(ids), 1))
                 qs.append(np.repeat(ids, m))
                 ns.append(eids[top].ravel())
                 ss.append(np.take_along_axis(sim, top, 1).ravel())
