@@ -246,16 +246,14 @@ def _cut(with_text: bool):
     return run
 
 
-_LIKELY = rf"\b(?:O SR|A SRA|O Sr|A Sra|Dep|DEP|Sr|Sra)\. |Deputad[oa] |\[[{_U}]|[{_U}�?)]:"
-
-
 def turns(speeches: DataFrame, with_text: bool = True) -> DataFrame:
     """(id, turn_no, speaker_no[, speaker, spoken]): the turns of every speech with a label.
 
     Null, blank and unlabelled texts give no rows; repeated ids are numbered
     each by itself. ``spoken`` is the text without times, annotations and fillers.
+    Labels are sought in the repaired text only: the stored one may hide them.
     """
-    s = speeches.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "discurso").filter(F.col("discurso").rlike(_LIKELY))
+    s = speeches.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "discurso").filter(F.col("discurso").isNotNull())
     seg = s.mapInPandas(_cut(with_text), "row long, id long, pos int, who int, speaker string, spoken string")
     by_pos = Window.partitionBy("row", "id").orderBy("pos")
     change = F.when(F.lag("who").over(by_pos).eqNullSafe(F.col("who")), 0).otherwise(1)

@@ -40,6 +40,11 @@ def test_chair_under_any_label(spark):
     assert [x[:2] for x in speakers(spark, text)[0]] == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_labels_that_only_repair_shows(spark):
+    got = speakers(spark, "ANA TAXUBUA\u0301: Bom dia.", "ANA TAXUBU\u00c3\u0081: Bom dia, a sessÃ£o está aberta.", "ANA TAXUBUÁ: Bom dia.", "Nada de rótulo aqui.")
+    assert {i: [x[:2] for x in t] for i, t in got.items()} == {0: [(1, 1)], 1: [(1, 1)], 2: [(1, 1)]}
+
+
 def test_long_and_repeated(spark):
     long = "O SR. JOSÉ REIS - " + "palavra " * 100_000 + "A SRA. ANA LIMA - fim."
     got = speakers(spark, long)
