@@ -42,8 +42,12 @@ def centroids_per_half(n: int) -> int:
     return max(4, min(32, round(math.sqrt(n) / 10) + 6))
 
 
+#: Least share of the collection a query reranks: with less, recall falls as the collection grows.
+LEAST_SHARE = 0.038
+
+
 def candidates_per_query(n: int) -> int:
-    return math.ceil(1.9 * n**0.66) + 60
+    return math.ceil(max(1.9 * n**0.66 + 60, LEAST_SHARE * n))
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 12) -> np.ndarray:
