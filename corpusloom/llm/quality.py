@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from statistics import median_high
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ _DIGIT = re.compile(r"\d")
 _VOWEL = re.compile(r"[aeiouyà-åè-ïò-öù-ü]")
 _MARK = re.compile(r"\s*(?:[-–—•*·▪‣]|\(?\d{1,4}[.)ºª]|\(?[a-zA-Z][.)]|[IVXLC]+\s?[-–.)]|(?i:item|tópico|ponto|nº|n\.)\s*\d+\s*[-–.:)]?)\s+")
 _CELL = re.compile(r"\s*\|\s*|\t+|\s*;\s*|\"\s*,\s*\"|\s{2,}|,(?=\S)")
+_SINGLE = re.compile(r"\S\s(?=\S)")
 _RULE = re.compile(r"[\s|+:=_-]+")
 _HEX = re.compile(r"[0-9a-fA-F]{6,}[:\s]+(?:[0-9a-fA-F]{2,4}\s+){4,}")
 _CODE = re.compile(r"<[^<>\n]{0,200}>|&[a-z]{2,8};|[\w.]*\([^()\n]{0,80}\)\s*\{[^{}\n]{0,200}\}|\{[^{}\n]{0,200}\}|https?://\S+")
@@ -65,8 +67,10 @@ def _line_kind(line: str) -> str:
     if _RULE.fullmatch(line):
         return "table" if ("|" in line or "+" in line) and len(line.strip()) > 2 else "rule"
     body = line.strip()
-    cells = [c for c in _CELL.split(body.strip("|\"")) if c.strip()] if len(body) < 600 else []
-    if len(cells) >= 2:
+    if "  " in body and len(_SINGLE.findall(body)) <= 0.1 * len(body.split()) and sum(w.lower() in COMMON for w in _WORD.findall(body)) >= 0.25 * len(body.split()):
+        line = body = " ".join(body.split())  # sentences with nearly every space doubled have no columns
+    cells = [c for c in _CELL.split(body.strip("|\"")) if c.strip()]
+    if len(cells) >= 2 and 2 * sum(any(ch.isalnum() for ch in c) for c in cells) >= len(cells):
         longest = max(len(c.split()) for c in cells)
         separated = body.count("|") >= 2 or "\t" in body or body.count(";") >= 2 or '","' in body or len(re.findall(r"\S\s{3,}(?=\S)", line)) >= 1
         figures = sum(bool(_FIGURE.fullmatch(c.strip())) for c in cells)
@@ -101,6 +105,16 @@ def _inline_list(line: str) -> bool:
     return bare >= 0.85 * len(parts)
 
 
+#: Words of one window of the test for repeated words: a longer text's vocabulary grows slower than its length.
+WINDOW = 400
+
+
+def _distinct_words(found: list[str]) -> float:
+    """Four times the share of distinct words in the middle one of windows of WINDOW words over the whole text, the last one full too."""
+    ends = [*range(WINDOW, len(found), WINDOW), len(found)]
+    return 4 * median_high(len(set(w)) / len(w) for w in (found[max(0, e - WINDOW) : e] for e in ends))
+
+
 def statistics_of(text: str) -> dict[str, float]:
     """The statistics of one non-blank text."""
     lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
@@ -128,7 +142,7 @@ def statistics_of(text: str) -> dict[str, float]:
     sents = [s.strip() for s in _SENT.split(text) if len(s.strip()) > 3]
     distinct = len(set(sents)) / len(sents) if len(sents) >= 4 else 1.0
     if len(found) >= 12:
-        distinct = min(distinct, 4 * len(set(found)) / len(found) if len(found) < 400 else 1.0)
+        distinct = min(distinct, _distinct_words(found))
     if chars >= 60:  # the same few characters on and on
         distinct = min(distinct, len({text[i : i + 4] for i in range(0, len(text), 3)}) / max(1, min(len(text) // 3, 60)))
     code = sum(len(m) for m in _CODE.findall(text)) + sum(len(m.group()) for m in _HEX.finditer(text))

@@ -121,6 +121,20 @@ def test_kinds(text, kind):
     assert quality.kind_of(quality.statistics_of(text)) == kind
 
 
+@pytest.mark.parametrize("times", [90, 150, 600])
+def test_endless_repetition_of_any_length(times):
+    assert quality.kind_of(quality.statistics_of("declaração de voto favorável " * times)) == "junk"
+
+
+def test_wide_tables():
+    row = "| " + " | ".join(f"Vila {i} | {i * 7}" for i in range(80)) + " |"
+    assert quality.kind_of(quality.statistics_of("\n".join([row] * 4))) == "table"
+    assert quality.kind_of(quality.statistics_of(" ".join(f"| Vila {i} | {i * 7} |" for i in range(80)))) == "table"
+    assert quality.kind_of(quality.statistics_of("<_*%>=|@ ;}*![\\[] }>{^_$ ~^$>*> /=}[ @|;[~:? " * 20)) == "junk"
+    spaced = " ".join(f"O relatório {i} da comissão aponta que, em {1900 + i}, as obras de {w} não avançaram; quem responde pela creche?" for i, w in enumerate("Olinda Natal Recife Belém Santos Lages Bagé Assu".split()))
+    assert len(spaced) > 600 and quality.kind_of(quality.statistics_of(spaced.replace(" ", "  ") + " (extraído da prova)")) == "prose"
+
+
 def test_quality_operator(spark):
     rows = [(i, PROSE + f" Número {i}.", "pt") for i in range(30)] + [(100, "=-" * 300, None), (101, None, "pt"), (102, " \n", "pt"), (103, "x", "PT-BR"), (104, PROSE * 2000, "pt"), (100, "=-" * 300, None)]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
