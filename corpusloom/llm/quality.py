@@ -5,7 +5,8 @@ Their exact ranks within a language come from one range-partitioned sort with
 partition offsets (a language with nearly all documents is split like any
 other); the ranks give empirical tail probabilities, and the sum of their
 negative logarithms, each in the direction that prose does not go, is the
-outlier score. What kind of non-prose an outlier is follows from its statistics.
+outlier score. Whether a document is prose or which kind of non-prose follows from
+its statistics alone; the score is reported besides.
 """
 
 from __future__ import annotations
@@ -193,15 +194,23 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "lang", "kind", *_COLS])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Statistics of every document with non-blank text, one row per input row, as a cut table.
+def kinds(docs: DataFrame) -> DataFrame:
+    """Statistics and kind of every document with non-blank text, one row per input row.
 
-    Language codes are compared by their first two letters in lower case; null
-    and rare languages are one group. Null and blank texts give no row.
+    Null and blank texts give no row.
     """
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"), "text").filter(F.col("text").rlike(r"\S"))
-    m = cut(d.mapInPandas(_measure, _SCHEMA).withColumn("row_id", F.monotonically_increasing_id()))
+    return d.mapInPandas(_measure, _SCHEMA)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``kinds`` as a cut table with the group each document is ranked in.
+
+    Language codes are compared by their first two letters in lower case; null
+    and rare languages are one group.
+    """
+    m = cut(kinds(docs).withColumn("row_id", F.monotonically_increasing_id()))
     per_lang = m.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     group = F.when(F.col("n") >= MIN_LANGUAGE, F.col("lang")).otherwise(F.lit("*"))
     # codes are two letters at most, so there are few
@@ -221,13 +230,9 @@ def outlier_scores(docs: DataFrame) -> DataFrame:
     return m.join(placed, "row_id")
 
 
-#: An outlier's score is at least that of a quarter of its language.
-OUTLIER_SHARE = 0.25
-
-
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = outlier_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return scored.filter((F.col("score_share") >= OUTLIER_SHARE) & (F.col("kind") != "prose")).select("doc_id", "kind").distinct()
+    """The kind alone decides: a rank depends on what else is in the table."""
+    return kinds(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter(F.col("kind") != "prose").select("doc_id", "kind").distinct()
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

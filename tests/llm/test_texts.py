@@ -135,6 +135,12 @@ def test_wide_tables():
     assert len(spaced) > 600 and quality.kind_of(quality.statistics_of(spaced.replace(" ", "  ") + " (extraído da prova)")) == "prose"
 
 
+def test_all_of_a_language_may_be_no_prose(spark, tmp_path):
+    rows = [(i, "\n".join(f"Vila {k}\t{k * 7 + i}\t2001" for k in range(3 + i % 5)), "pt") for i in range(40)] + [(99, PROSE, "pt")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in quality.found(spark, str(tmp_path)).collect()} == {(i, "table") for i in range(40)}
+
+
 def test_quality_operator(spark):
     rows = [(i, PROSE + f" Número {i}.", "pt") for i in range(30)] + [(100, "=-" * 300, None), (101, None, "pt"), (102, " \n", "pt"), (103, "x", "PT-BR"), (104, PROSE * 2000, "pt"), (100, "=-" * 300, None)]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
