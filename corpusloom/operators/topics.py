@@ -233,11 +233,11 @@ def plane(vectors: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def kmeans_grid(vectors: DataFrame, ks: range, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """(k, silhouette, chosen): quality of k-means for several k on a bounded sample, and the first best by min-max scaled score."""
-    v = vectors.select("id", unit().alias("u")).filter("u IS NOT NULL").orderBy(F.xxhash64("id")).limit(sample).select("id", array_to_vector("u").alias("features"))
-    v = cut(v)
+    """(k, silhouette, chosen): k-means on all vectors for several k, its silhouette on a bounded sample of them, and the first best k."""
+    v = cut(vectors.select("id", unit().alias("u")).filter("u IS NOT NULL").select("id", array_to_vector("u").alias("features")))
+    some = cut(v.orderBy(F.xxhash64("id")).limit(sample))
     ev = ClusteringEvaluator(distanceMeasure="cosine")
-    rows = [(k, float(ev.evaluate(KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(v).transform(v)))) for k in ks]
+    rows = [(k, float(ev.evaluate(KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(v).transform(some)))) for k in ks]
     best = max(rows, key=lambda r: (r[1], -r[0]))[0] if rows else None
     return vectors.sparkSession.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, chosen boolean")
 

@@ -99,7 +99,7 @@ def consensus_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_grid(s: SparkSession, d: str) -> DataFrame:
-    return topics.kmeans_grid(_vectors(s, d), range(10, 71, 20))
+    return topics.kmeans_grid(_vectors(s, d), range(10, 71, 10))
 
 
 def pca_map(s: SparkSession, d: str) -> DataFrame:

@@ -194,3 +194,21 @@ def test_empty_tables(spark):
     assert corpus.counts(p, "ano").count() == 0 and corpus.dense_years(p, "partido").count() == 0 and corpus.top_speakers(p).count() == 0
     assert not corpus.enough_rows(d) and corpus.first_by_identity(d).count() == 0
     assert p.select(F.count("*")).first()[0] == 0
+
+
+def test_kmeans_grid_fits_on_every_vector(spark, sf, monkeypatch):
+    seen = []
+
+    class Spy(topics.KMeans):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(topics, "KMeans", Spy)
+    v = spark.createDataFrame([(i, [1.0 + i % 3, 5.0 * (i % 2), 0.1 * i]) for i in range(40)], "id long, vector array<float>")
+    got = topics.kmeans_grid(v, [2, 3], sample=10).collect()
+    assert seen == [40, 40] and [r["k"] for r in got] == [2, 3] and sum(r["chosen"] for r in got) == 1
+    monkeypatch.setattr(topics, "kmeans_grid", lambda v, ks: list(ks))
+    from corpusloom.plans import themes
+
+    assert themes.kmeans_grid(spark, sf) == [10, 20, 30, 40, 50, 60, 70]
