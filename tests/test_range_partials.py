@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,29 +20,98 @@ def brute(rows):
         xs.sort(key=lambda x: x[:3])
         keys = [x[:2] for x in xs]
         for n, x in enumerate(xs):
-            less = sum(y < x[:2] for y in keys)
-            upto = sum(y <= x[:2] for y in keys)
-            out[x[2]] = (n + 1, less, upto, xs[n - 1][3] if n else None)
+            out[x[2]] = (n + 1, sum(y < x[:2] for y in keys), xs[n - 1][3] if n else None)
     return out
 
 
+def sample(seed, n=400):
+    r = random.Random(seed)
+    return [(r.choice(["a"] * 6 + ["b", "c", None]), r.choice([None, 1, 1, 1, 2, 3, 4, 5, 6]), i) for i in range(n)]
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_ranks_match_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize("batch", (3, 10_000))
+def test_ranks_match_brute_force(spark, monkeypatch, seed, batch):
     monkeypatch.setattr(rp, "PER_PART", 40)
-    r = random.Random(seed)
-    rows = [(r.choice(["a"] * 6 + ["b", "c", None]), r.choice([None, 1, 1, 1, 2, 3, 4, 5, 6]), i) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = sample(seed)
     df = spark.createDataFrame(rows, "k string, v int, id int").repartition(7)
-    got = {x["id"]: (x["row_no"], x["n_less"], x["n_upto"], x["previous"]) for x in rp.stitched_ranks(df, ["k"], "v", ["id"], rows=400).collect()}
+    got = {x["id"]: (x["row_no"], x["n_less"], x["previous"]) for x in rp.stitched_ranks(df, ["k"], "v", ["id"]).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_totals_come_from_states(spark, monkeypatch, seed):
+    monkeypatch.setattr(rp, "PER_PART", 40)
+    rows = sample(seed)
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(7)
+    out = rp.key_totals(df, ["k"], "v", ["id"])
+    got = {r["k"]: (r["n_rows"], r["first_value"], r["last_value"], r["n_values"]) for r in out.collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        vs = sorted((r[1] for r in rows if r[0] == k), key=lambda v: (v is not None, v or 0))
+        want[k] = (len(vs), vs[0], vs[-1], len(set(vs)))
+    assert got == want
+
+
+def test_heavy_key_sends_states_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(rp, "PER_PART", 500)
+    seen = spark.sparkContext.accumulator(0)
+    plain = rp._local_states
+
+    def counted(keys, value):
+        run = plain(keys, value)
+
+        def wrapped(batches):
+            for b in run(batches):
+                seen.add(b.num_rows)
+                yield b
+
+        return wrapped
+
+    monkeypatch.setattr(rp, "_local_states", counted)
+    df = spark.range(10_000).select(F.lit("x").alias("k"), "id")
+    r = rp.key_totals(df, ["k"], "id").collect()
+    assert [(x["n_rows"], x["first_value"], x["last_value"], x["n_values"]) for x in r] == [(10_000, 0, 9_999, 10_000)]
+    assert seen.value <= 2 * 10_000 / 500 + 4
+
+
+def test_worker_memory_does_not_grow_with_the_partition():
+    def batches(n):
+        for i in range(n):
+            yield pa.RecordBatch.from_pydict({"k": ["x"] * 5_000, "v": list(range(i * 5_000, (i + 1) * 5_000))})
+
+    def peak(n):
+        most, before = 0, pa.total_allocated_bytes()
+        for out in rp._local_ranks(["k"], "v", None)(batches(n)):
+            most = max(most, pa.total_allocated_bytes() - before)
+        assert out.column("_upto")[-1].as_py() == n * 5_000
+        return most
+
+    assert peak(60) < 1.5 * peak(6)
+
+
+def test_weights_stand_for_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(rp, "PER_PART", 5)
+    rows = [("a", i // 2, i, 1 + i % 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, v int, id int, w long")
+    got = {r["id"]: (r["row_no"], r["n_less"], r["previous"]) for r in rp.stitched_ranks(df, ["k"], "v", ["id"], weight="w").collect()}
+    want, total = {}, 0
+    for k, v, i, w in rows:
+        total += w
+        want[i] = (total, sum(x[3] for x in rows if x[1] < v), rows[i - 1][1] if i else None)
+    assert got == want
+
+
 def test_one_value_over_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(rp, "PER_PART", 10)
     df = spark.range(200).select(F.lit("x").alias("k"), F.lit(7).alias("v"), "id")
     out = rp.stitched_ranks(df, ["k"], "v", ["id"], rows=200)
-    assert {(x["n_less"], x["n_upto"]) for x in out.collect()} == {(0, 200)}
+    assert {x["n_less"] for x in out.collect()} == {0}
     assert sorted(x["row_no"] for x in out.collect()) == list(range(1, 201))
     assert rp.ordered_partials(df, ["k"], "v", ["id"], 200).select("_pid").distinct().count() > 5
+    assert rp.key_totals(df, ["k"], "v", ["id"]).collect()[0]["n_values"] == 1
 
 
 def test_empty(spark):
