@@ -107,32 +107,57 @@ def test_leaks_blocks_and_empty(spark, monkeypatch):
 PROSE = "O relatório da comissão aponta que as obras não avançaram desde março. Quem responde pela creche? Até agora, ninguém respondeu."
 
 
-@pytest.mark.parametrize(
-    ("text", "kind"),
-    [
-        (PROSE, "prose"), (PROSE.upper(), "prose"), (PROSE.replace(" ", "\n", 30).replace(".", ""), "prose"), ("\n".join(f"{i}. {s}" for i, s in enumerate(PROSE.split(". "), 1)), "prose"),
-        ("\n".join(f"- {w}" for w in "creche seca rodovia hospital porto ponte asfalto".split()), "list"), ("\n".join("água armas rio fechado técnico rural pública".split()), "list"),
-        ("| Município | Obras |\n| --- | --- |\n" + "\n".join(f"| Vila {i} | {i * 7} |" for i in range(8)), "table"), ("\n".join(f"Vila {i}\t{i * 7}\t2001" for i in range(8)), "table"),
-        ("=-" * 200, "junk"), ("ha" * 300, "junk"), (PROSE.split(".")[0] + ". " + (PROSE.split(".")[0] + ". ") * 30, "junk"), ("zrbqlc bbzpgpd hhtt wmksgd brrt " * 3, "junk"), ("1 22 333 4 55 6666 7 " * 9, "junk"),
-        ("<div class=\"a\"></div>function(){return 1;}&nbsp;" * 9, "junk"),
-    ],
-)
-def test_kinds(text, kind):
-    assert quality.kind_of(quality.statistics_of(text)) == kind
-
-
-@pytest.mark.parametrize("times", [90, 150, 600])
-def test_endless_repetition_of_any_length(times):
-    assert quality.kind_of(quality.statistics_of("declaração de voto favorável " * times)) == "junk"
-
-
-def test_wide_tables():
-    row = "| " + " | ".join(f"Vila {i} | {i * 7}" for i in range(80)) + " |"
-    assert quality.kind_of(quality.statistics_of("\n".join([row] * 4))) == "table"
-    assert quality.kind_of(quality.statistics_of(" ".join(f"| Vila {i} | {i * 7} |" for i in range(80)))) == "table"
-    assert quality.kind_of(quality.statistics_of("<_*%>=|@ ;}*![\\[] }>{^_$ ~^$>*> /=}[ @|;[~:? " * 20)) == "junk"
-    spaced = " ".join(f"O relatório {i} da comissão aponta que, em {1900 + i}, as obras de {w} não avançaram; quem responde pela creche?" for i, w in enumerate("Olinda Natal Recife Belém Santos Lages Bagé Assu".split()))
-    assert len(spaced) > 600 and quality.kind_of(quality.statistics_of(spaced.replace(" ", "  ") + " (extraído da prova)")) == "prose"
+SPACED = " ".join(f"O relatório {i} da comissão aponta que, em {1900 + i}, as obras de {w} não avançaram; quem responde pela creche?" for i, w in enumerate("Olinda Natal Recife Belém Santos Lages Bagé Assu".split()))
+CASES = [
+    (PROSE, "prose"), (PROSE.upper(), "prose"), (PROSE.replace(" ", "\n", 30).replace(".", ""), "prose"), ("\n".join(f"{i}. {s}" for i, s in enumerate(PROSE.split(". "), 1)), "prose"),
+    ("\n".join(f"- {w}" for w in "creche seca rodovia hospital porto ponte asfalto".split()), "list"), ("\n".join("água armas rio fechado técnico rural pública".split()), "list"),
+    ("| Município | Obras |\n| --- | --- |\n" + "\n".join(f"| Vila {i} | {i * 7} |" for i in range(8)), "table"), ("\n".join(f"Vila {i}\t{i * 7}\t2001" for i in range(8)), "table"),
+    ("\n".join(f'"Vila {w}","{i * 7}","2001","parada"' for i, w in enumerate("Olinda Natal Recife Belém".split())), "table"),
+    ("=-" * 200, "junk"), ("ha" * 300, "junk"), (PROSE.split(".")[0] + ". " + (PROSE.split(".")[0] + ". ") * 30, "junk"), ("zrbqlc bbzpgpd hhtt wmksgd brrt " * 3, "junk"), ("1 22 333 4 55 6666 7 " * 9, "junk"),
+    ("<div class=\"a\"></div>function(){return 1;}&nbsp;" * 9, "junk"), ("Nã, há e!e1da  ~,1,josa  !em  l||log.   c.m  l|   l!~,ll!|,|e!.  Es1~   ~mendl ,ist1ri~l  ll!,|ç1 " * 3, "junk"),
+    *[("declaração de voto favorável " * n, "junk") for n in (90, 150, 600)],
+    ("\n".join(["| " + " | ".join(f"Vila {i} | {i * 7}" for i in range(80)) + " |"] * 4), "table"), (" ".join(f"| Vila {i} | {i * 7} |" for i in range(80)), "table"),
+    ("<_*%>=|@ ;}*![\\[] }>{^_$ ~^$>*> /=}[ @|;[~:? " * 20, "junk"), (SPACED.replace(" ", "  ") + " (extraído da prova)", "prose"),
+]
+
+
+def plain_prose(n, more=""):
+    words = "obras creches pontes vias escolas praças feiras hortas".split()
+    return [SPACED.replace("O relatório", f"O laudo {i}") + more if i % 30 == 7 else f"O relatório {i} da comissão aponta que as {words[i % 8]} de {words[i % 7]} não avançaram desde março. Quem responde pela creche? Até agora, ninguém respondeu ao pedido {i}.{more}" for i in range(n)]
+
+
+def kinds_of(spark, texts, lang="pt"):
+    d = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    return {r["doc_id"]: r["kind"] for r in quality.outlier_scores(d).collect()}
+
+
+def test_kinds(spark):
+    texts = [t for t, _ in CASES] + plain_prose(300)
+    got = kinds_of(spark, texts)
+    wrong = [(t[:60], kind, got[i]) for i, (t, kind) in enumerate(CASES) if got[i] != kind]
+    assert not wrong
+    assert {got[i] for i in range(len(CASES), len(texts))} == {"prose"}
+
+
+def test_score_decides(spark, monkeypatch):
+    """The same document is an outlier where prose never looks like it, and none where prose often does; without tails nothing is found."""
+    half = PROSE + "\n" + "\n".join(f"Vila {i}\t{i * 7}\t2001" for i in range(4))
+    assert 0.2 < quality.statistics_of(half)["table_part"] < 0.5
+    rare = plain_prose(300)
+    often = [t + "\n" + "\n".join(f"Vila {i}\t{k + i * 7}\t2001" for i in range(7 + k % 3)) if k % 3 == 0 else t for k, t in enumerate(plain_prose(300))]
+    assert kinds_of(spark, [half, *rare])[0] == "table"
+    assert kinds_of(spark, [half, *often])[0] == "prose"
+    plain = quality.tails
+    monkeypatch.setattr(quality, "tails", lambda m, at: (plain(m, at)[0].limit(0), plain(m, at)[1]))
+    assert set(kinds_of(spark, [t for t, _ in CASES] + rare).values()) == {"prose"}
+
+
+def test_splits():
+    h = np.zeros(quality.STEPS + 1)
+    h[:50], h[900:950] = 10, 1
+    assert 0.05 <= quality.split_at(h) <= 0.9
+    h[:], h[30] = 0, 5
+    assert quality.split_at(h) == quality.MOST_SPLIT
 
 
 def test_all_of_a_language_may_be_no_prose(spark, tmp_path):
@@ -142,13 +167,14 @@ def test_all_of_a_language_may_be_no_prose(spark, tmp_path):
 
 
 def test_quality_operator(spark):
-    rows = [(i, PROSE + f" Número {i}.", "pt") for i in range(30)] + [(100, "=-" * 300, None), (101, None, "pt"), (102, " \n", "pt"), (103, "x", "PT-BR"), (104, PROSE * 2000, "pt"), (100, "=-" * 300, None)]
+    rows = [(i, PROSE + f" Número {i}.", "pt") for i in range(30)] + [(100, "=-" * 300, None), (101, None, "pt"), (102, " \n", "pt"), (103, "x", "PT-BR"), (104, " ".join(plain_prose(600)), "pt"), (100, "=-" * 300, None)]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
     got = quality.outlier_scores(d).collect()
     assert len(got) == 34 and {r["doc_id"] for r in got if r["kind"] == "junk"} >= {100}
-    n = len(got)
-    for r in got:
-        assert r["score_share"] == pytest.approx(sum(x["score"] <= r["score"] for x in got) / n)
+    for lang in ("pt", ""):
+        of = [r for r in got if r["lang"] == lang]
+        for r in of:
+            assert r["score_share"] == pytest.approx(sum(x["score"] <= r["score"] for x in of) / len(of))
     assert quality.outlier_scores(d.limit(0)).count() == 0
 
 
