@@ -118,3 +118,34 @@ def test_html():
     row = "<tr><td>1/1/2020</td><td>1</td><td>PE</td><td><a href='x?\n id=1'>texto</a></td><td></td><td>ANA, PT-SP</td><td>10h</td></tr><tr><td>x</td></tr>"
     got = cleaning.listing_rows(f"<table>{row}</table>", "https://a.example/b/")
     assert len(got) == 1 and got[0]["orador"] == "ANA, PT-SP" and got[0]["url"].startswith("https://a.example/b/x?")
+
+
+def test_passages_cut_at_headings_and_keep_offsets():
+    text = "Intro. O SR. ANA LIMA (PL - SP) - Um dois. A SRA. PRESIDENTE (Bia Reis. PT - RJ) - Conclua. PRONUNCIAMENTO ENCAMINHADO PELO ORADOR. Três quatro."
+    got = cleaning.passages(text)
+    assert [(p.who, text[p.start : p.end].strip()) for p in got] == [(None, "Intro."), ("ANA LIMA", "Um dois."), ("PRESIDENTE", "Conclua."), ("", "Três quatro.")]
+    assert [text[p.start : p.end].strip() for p in cleaning.chosen(text, "Ána  Lima")] == ["Intro.", "Um dois.", "Três quatro."]
+    assert [p.who for p in cleaning.chosen("A SRA. PRESIDENTE - Conclua. O SR. JOÃO REIS - Sim.", "Ninguém")] == ["PRESIDENTE"]
+    assert cleaning.passages("   ") == []
+
+
+def test_blank_keeps_length():
+    assert cleaning.blank("abcdef", [(1, 3), (2, 4)]) == "a   ef" and cleaning.blank("abc", []) == "abc"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Sr. Presidente, Sras. e Srs. Deputados, boa tarde a todos. A seca atinge muitas cidades do interior.", "A seca atinge muitas cidades do interior."),
+        ("Meus caros colegas e minhas caras colegas, a seca atinge muitas cidades hoje.", "a seca atinge muitas cidades hoje."),
+        ("Senhor Presidente, venho falar da seca em nossas cidades. Os Anais da Casa devem registrar a fala.", "venho falar da seca em nossas cidades."),
+        ("[Presidenta] A seca atinge muitas cidades, disse ela.", "[Presidenta] A seca atinge muitas cidades, disse ela."),
+        ("A seca atinge muitas cidades. (Palmas.) Era o que tinha a dizer, Sr. Presidente. Muito obrigado.", "A seca atinge muitas cidades."),
+        ("O Sr. ANA LIMA ( PL - SP ) pronuncia o seguinte discurso: A seca atinge muitas cidades do país.", "A seca atinge muitas cidades do país."),
+        ("Nos termos do art. 5 da lei, a V.Exa. cabe responder pelas cidades.", "Nos termos do art. 5 da lei, a V.Exa. cabe responder pelas cidades."),
+        ("O SR. JOÃO REIS (PT - SP) - Sim.", "Sim."),
+        ("", ""),
+    ],
+)
+def test_clean_cases(text, want):
+    assert cleaning.clean_speech(text, "ANA LIMA") == want
