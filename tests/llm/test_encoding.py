@@ -8,16 +8,16 @@ from corpusloom.llm import encoding
 TEXT = "A situação não é fácil: o § 2º da medida – já às 14h – alcança famílias e órgãos."
 
 
-@pytest.mark.parametrize("chain", [c for c in encoding.CHAINS if not c.startswith(("mac_roman>", "cp850>"))])
+#: What the chain leaves as it was cannot be told from correct text, so a text comes back whole only if it is made of what the chain changes.
+@pytest.mark.parametrize("chain", encoding.CHAINS)
 def test_round_trip(chain):
-    try:
-        bad = encoding.damage(TEXT, chain)
-    except UnicodeEncodeError:
-        pytest.skip("not written so")
-    if bad != TEXT:
-        assert encoding.evidence(bad, "discurso")[0] > 0
-        if not chain.endswith("cp1250"):
-            assert encoding.restore(bad, chain) == TEXT
+    sure = [c for c in encoding._inverse(chain)[0] if len(c) > 1 or c not in encoding.NATURAL]
+    letters = "".join(encoding._inverse(chain)[0][c] for c in sure)
+    assert len(letters) >= 8
+    text = " ".join(f"xa{c}bo" for c in letters if c in encoding.LETTERS) + " fim"
+    bad = encoding.damage(text, chain)
+    assert bad != text and encoding.evidence(bad, "discurso")[0] > 0
+    assert encoding.restore(bad, chain) == text
 
 
 @pytest.mark.parametrize("text", [TEXT, "Até que ponto? Veja a.example/busca?tema=agua e b.example/q?ano=2019.", "decomposição", "Boa Espera? é... Até agora", "", "ÓRGÃO ÀS ÚLTIMAS"])
@@ -49,3 +49,27 @@ def test_operator(spark):
 
 def test_empty(spark):
     assert encoding.repaired(spark.createDataFrame([], ROWS), ("orador", "discurso"), F.lit("")).count() == 0
+
+
+def cases(spark, rows):
+    d = spark.createDataFrame([(i, f"http://{s}.example/{i}", "ANA", x, None) for i, (s, x) in enumerate(rows)], ROWS)
+    return {r["id"] for r in encoding.repaired(d, ("orador", "discurso"), F.coalesce(F.regexp_extract("url", r"^\w+://([^/?]+)", 1), F.lit(""))).collect()}
+
+
+def test_the_source_decides(spark):
+    """The same sentence is a case where its source loses letters, and none where it never does."""
+    doubtful = "Falamos do par? é bom."
+    common = ["Fomos ao Pará de barco."] * 3 + ["Alguém viu o par? Até agora, não."] * 40 + ["A pauta não é nova e há quem já até saiba."] * 300
+    bad = [("bad", "n?o h? solu??o para a quest?o")] * 120
+    rows = [("good", doubtful), ("bad", doubtful)] + [("good", x) for x in common] + bad
+    got = cases(spark, rows)
+    assert 1 in got and 0 not in got and set(range(len(rows) - 120, len(rows))) <= got
+
+
+def test_the_collection_tells_what_a_question_mark_is(spark):
+    """No list of words: a stem that makes a common word with an accented letter has lost it, one that ends questions has not."""
+    plain = ["Fomos a Tamboré ontem.", "Já há quem vá até lá.", "Quem fiscaliza o asfalto? Ninguém sabe.", "Quem paga o leite? Até agora, ninguém."] * 20
+    rows = [("a", "Fomos a Tambor? do Norte."), ("a", "Quem fiscaliza o asfalto? é... não sei."), ("a", "Ele ficou at? mais tarde."), ("a", "Quem paga o leite? bom, é... veremos.")] + [("a", x) for x in plain]
+    assert cases(spark, rows) == {0, 2}
+    d = spark.createDataFrame([(i, None, None, x, None) for i, (_, x) in enumerate(rows)], ROWS)
+    assert {r["id"] for r in encoding.suspicious(d, ("orador", "discurso"), F.lit("")).collect()} == {0, 1, 2, 3}
