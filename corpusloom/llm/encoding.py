@@ -61,13 +61,17 @@ CLEAN = "clean"
 #: Stands for a character inside a suspicious run that the chain leaves as it is; it speaks against the chain.
 KEPT = "="
 
-_SUSPICIOUS = rf"[^\x00-\x7e{NATURAL}̀-ͯ]|[ÃÂ][§ºª°–—“”‘’…]|[a-záàâãéêíóôõúüç][{_UPPER}§](?![A-Z])"
-_QUESTION = r"[A-Za-záàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ?]\?+[A-Za-záàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ](?![\w.-]*=)|(?:^|\s)\?+[a-zà-ÿ]|\s\?\s[a-zà-ÿ]"
+# every alternative begins at the character in doubt, so a scan passes over plain letters at once
+_SUSPICIOUS = rf"(?=[^\x00-\x7e])(?:[^\x00-\x7e{NATURAL}̀-ͯ]|[ÃÂ][§ºª°–—“”‘’…]|(?<=[a-záàâãéêíóôõúüç])[{_UPPER}§](?![A-Z]))"
+_QL = "A-Za-záàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ"
+_QUESTION = rf"(?<=[{_QL}?])\?+[{_QL}](?![\w.-]*=)|(?<!\S)\?+[a-zà-ÿ]|(?<=\s)\?\s[a-zà-ÿ]"
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A stem with a question mark where a sentence goes on, one where it ends, and a word that ends in an accented letter.
-_OPEN_END = rf"(?<![{_L}?])([{_L}]+)\?(?=\s[a-zà-öø-ÿ]|[,.;:](?!\w))"
-_SHUT_END = rf"(?<![{_L}?])([{_L}]+)\?(?=\s*$|\s+[^\sa-zà-öø-ÿ])"
-_ACCENT_END = rf"(?<![{_L}])([{_L}]*[áàâãéêíóôõú])(?![{_L}])"
+#: After a word and a question mark: the sentence goes on, or it ends.
+_GOES_ON, _ENDS = r"^(?:\s[a-zà-öø-ÿ]|[,.;:](?:$|\W))", r"^\s*(?:$|\s[^\sa-zà-öø-ÿ])"
+_OPEN_END = rf"(?<=[{_L}])\?(?:\s[a-zà-öø-ÿ]|[,.;:](?!\w))"
+_ACCENT_END = rf"(?<![{_L}])([{_L}]*[áàâãéêíóôõúÁÀÂÃÉÊÍÓÔÕÚ])(?![{_L}])"
+#: Longest stem looked at.
+STEM = 40
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _RX = {"s": re.compile(_SUSPICIOUS), "q": re.compile(_QUESTION)}
 _URL = re.compile(r"\S*(?:://|www\.|\w\.\w+/)\S*|\S+\?\w+=\S*")
@@ -240,6 +244,14 @@ def _list_evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row_id", "id", "source", "field_name", "ends", "chains", "forms"])
 
 
+def _stems(c: F.Column, after: str) -> F.Column:
+    """The lower-cased words right before the question marks that are followed so; only the ends of the pieces between the marks are looked at."""
+    pieces = F.split(c, r"\?", -1)
+    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i < F.size(pieces) - 1) & F.get(pieces, i + 1).substr(1, 3).rlike(after))
+    words = F.transform(at, lambda i: F.lower(F.regexp_extract(F.right(F.get(pieces, i), F.lit(STEM)), rf"([{_L}]+)$", 1)))
+    return F.filter(words, lambda w: w != "")
+
+
 def suspicious(rows: DataFrame, fields: tuple[str, ...], source: F.Column) -> DataFrame:
     """(id, source, field_name, value, stems) of the values with anything that could be damage; null values have none."""
     tests = []
@@ -248,8 +260,9 @@ def suspicious(rows: DataFrame, fields: tuple[str, ...], source: F.Column) -> Da
         if f == "orador":
             stems, hit = F.array().cast("array<string>"), c.rlike(_SUSPICIOUS) | c.contains("?")
         else:
-            stems = F.when(c.contains("?"), F.transform(F.regexp_extract_all(c, F.lit(_OPEN_END), F.lit(1)), lambda x: F.lower(x))).otherwise(F.array().cast("array<string>"))
-            hit = c.rlike(_SUSPICIOUS) | (c.contains("?") & (c.rlike(_QUESTION) | c.rlike(_OPEN_END)))
+            asks = c.contains("?") & c.rlike(_OPEN_END)
+            stems = F.when(asks, _stems(c, _GOES_ON)).otherwise(F.array().cast("array<string>"))
+            hit = c.rlike(_SUSPICIOUS) | (c.contains("?") & (asks | c.rlike(_QUESTION)))
         tests.append(F.when(hit, F.struct(F.lit(f).alias("field_name"), c.alias("value"), stems.alias("stems"))))
     found = rows.select(F.col("id").cast("long").alias("id"), source.alias("source"), F.array_compact(F.array(*tests)).alias("f"))
     return found.filter(F.size("f") > 0).select("id", "source", F.explode("f").alias("f")).select("id", "source", "f.field_name", "f.value", "f.stems")
@@ -265,11 +278,11 @@ def end_chances(rows: DataFrame, fields: tuple[str, ...], stems: DataFrame) -> D
     asked = stems.groupBy("stem").agg(F.sum("n").alias("n_open"))
     asked = broadcast_if_small(cut(asked))
     texts = [f for f in fields if f != "orador"]
-    ends = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_ACCENT_END), F.lit(1))
-    shut = lambda c: F.when(c.contains("?"), F.transform(F.regexp_extract_all(c, F.lit(_SHUT_END), F.lit(1)), lambda x: F.lower(x))).otherwise(F.array().cast("array<string>"))
+    ends = lambda c: F.regexp_extract_all(c, F.lit(_ACCENT_END), F.lit(1))
+    shut = lambda c: F.when(c.contains("?"), _stems(c, _ENDS)).otherwise(F.array().cast("array<string>"))
     parts = []
     for f in texts:
-        parts += [F.transform(ends(F.col(f)), lambda w: F.struct(F.lit("a").alias("kind"), F.substring(w, F.lit(1), F.length(w) - 1).alias("stem"))), F.transform(shut(F.col(f)), lambda w: F.struct(F.lit("s").alias("kind"), w.alias("stem")))]
+        parts += [F.transform(ends(F.col(f)), lambda w: F.struct(F.lit("a").alias("kind"), F.lower(F.substring(w, F.lit(1), F.length(w) - 1)).alias("stem"))), F.transform(shut(F.col(f)), lambda w: F.struct(F.lit("s").alias("kind"), w.alias("stem")))]
     met = rows.select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("x")).select("x.kind", "x.stem")
     counted = cut(met.join(asked.select("stem").withColumn("known", F.lit(True)), "stem", "left").groupBy("kind", F.when(F.col("known"), F.col("stem")).alias("stem")).agg(F.count(F.lit(1)).alias("n")))
     per = counted.filter("stem IS NOT NULL").groupBy("stem").agg(F.sum(F.when(F.col("kind") == "a", F.col("n"))).alias("a"), F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("s"))
