@@ -62,26 +62,15 @@ def _machine() -> ahocorasick.Automaton:
         a.add_word(t, ("title", len(t)))
     for f in FILLERS:
         a.add_word(f, ("filler", len(f)))
+    for note in ANNOTATIONS:
+        for form in {note, note.capitalize(), note.upper()}:
+            a.add_word(form, ("note", len(form)))
     for c in "([{<*:":
         a.add_word(c, (c, 1))
     a.make_automaton()
     return a
 
 
-@cache
-def _notes() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for n in ANNOTATIONS:
-        a.add_word(n, n)
-    a.make_automaton()
-    return a
-
-
-def _is_note(inside: str) -> bool:
-    low = inside.strip().lower()
-    return any(end - len(n) + 1 == 0 for end, n in _notes().iter(low)) if low else True
-
-
 def name_key(name: str) -> tuple[str, ...]:
     """Upper-case words without accents; titles, dots and particles dropped."""
     words = re.findall(r"[A-Z0-9�?'-]+", plain(name).upper())
@@ -115,7 +104,8 @@ def same_speaker(short: tuple[str, ...], full: tuple[str, ...]) -> bool:
 class _Labels:
     """The labels of one transcript, with who each of them means."""
 
-    def __init__(self) -> None:
+    def __init__(self, main: tuple[str, ...] = (), speaker: str | None = None) -> None:
+        self.main, self.speaker = main, speaker
         self.people: list[tuple[str, ...]] = []
         self.names: list[str] = []
         self.chair: list[tuple[str, ...]] = []
@@ -141,7 +131,8 @@ class _Labels:
         if i is None:
             i = len(self.people)
             self.people.append(key)
-            self.names.append(re.sub(r"\s+", " ", name).strip())
+            own = len(self.main) > 1 and len(key) <= len(self.main) and same_speaker(key, self.main)
+            self.names.append(re.sub(r"\s+", " ", self.speaker if own else name).strip())
         elif len(key) > len(self.people[i]):
             self.people[i], self.names[i] = key, name.strip()
         return i
@@ -150,13 +141,25 @@ class _Labels:
 def segments(text: str, speaker: str | None = None) -> list[tuple[str, int, int, list[tuple[int, int]], list[tuple[int, int]]]]:
     """(speaker name, number, start, end, silent spans, fillers) of each labelled passage, in order.
 
-    ``text`` must have its accents composed and its encoding repaired.
+    ``text`` must have its accents composed and its encoding repaired. ``speaker``
+    is the speech's main speaker: a short label that fits this name is one, and the
+    name stands for that speaker.
     """
+    main = name_key(prepared(speaker)) if speaker else ()
+    hits = [(end - size + 1, end, kind) for end, (kind, size) in _machine().iter(text)]
+    notes = {at for at, _, kind in hits if kind == "note"}
+
+    def is_note(at: int, stop: int) -> bool:
+        while at < stop and text[at].isspace():
+            at += 1
+        return at == stop or at in notes
+
     found: list[tuple[int, int, str, str | None, bool]] = []
     silent: list[tuple[int, int]] = []
     fillers: list[tuple[int, int]] = []
-    for end, (kind, size) in _machine().iter(text):
-        at = end - size + 1
+    for at, end, kind in hits:
+        if kind == "note":
+            continue
         if kind == "title":
             if at and (text[at - 1].isalnum() or text[at - 1] in ".,") or text[at - 2 : at] in ("O ", "A ") and text[at : at + 2] in ("Sr", "SR"):
                 continue
@@ -183,11 +186,11 @@ def segments(text: str, speaker: str | None = None) -> list[tuple[str, int, int,
             if m:
                 silent.append((m.start(), m.end()))
                 continue
-            if kind == "[" and (m := _BRACKET.match(text, at)) and not _is_note(m["name"]):
+            if kind == "[" and (m := _BRACKET.match(text, at)) and not is_note(m.start("name"), m.end("name")):
                 found.append((at, m.end(), m["name"], None, True))
-            elif (m := _NOTE[kind].match(text, at)) and (kind in "{<*" or kind == "[" and m[1][:1].islower() or _is_note(m[1])):
+            elif (m := _NOTE[kind].match(text, at)) and (kind in "{<*" or kind == "[" and m[1][:1].islower() or is_note(m.start(1), m.end(1))):
                 silent.append((m.start(), m.end()))
-    labels = _Labels()
+    labels = _Labels(main, speaker)
     for _, _, name, paren, _ in found:
         key = name_key(name)
         if key and key[0] in CHAIR and paren:
@@ -200,7 +203,7 @@ def segments(text: str, speaker: str | None = None) -> list[tuple[str, int, int,
         key = name_key(name)
         if at < last or not key:
             continue
-        if not sure and labels.known(key) is None and not any(same_speaker(key, c) for c in labels.chair):
+        if not sure and labels.known(key) is None and not any(same_speaker(key, c) for c in labels.chair) and not (len(main) > 1 and same_speaker(key, main)):
             continue
         if out:
             out[-1][3] = at
@@ -235,9 +238,9 @@ def _cut(with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for r, i, text in zip(pdf["row"], pdf["id"], pdf["discurso"]):
+            for r, i, text, speaker in zip(pdf["row"], pdf["id"], pdf["discurso"], pdf["orador"]):
                 t = prepared(text)
-                for pos, (name, no, a, b, silent, fillers) in enumerate(segments(t)):
+                for pos, (name, no, a, b, silent, fillers) in enumerate(segments(t, speaker)):
                     spoken = subtract(t, a, b, silent)
                     if any(c.isalnum() for c in spoken):
                         out.append((r, i, pos, no, name if with_text else None, subtract(t, a, b, silent + fillers) if with_text else None))
@@ -253,7 +256,7 @@ def turns(speeches: DataFrame, with_text: bool = True) -> DataFrame:
     each by itself. ``spoken`` is the text without times, annotations and fillers.
     Labels are sought in the repaired text only: the stored one may hide them.
     """
-    s = speeches.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "discurso").filter(F.col("discurso").isNotNull())
+    s = speeches.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "discurso", "orador").filter(F.col("discurso").isNotNull())
     seg = s.mapInPandas(_cut(with_text), "row long, id long, pos int, who int, speaker string, spoken string")
     by_pos = Window.partitionBy("row", "id").orderBy("pos")
     change = F.when(F.lag("who").over(by_pos).eqNullSafe(F.col("who")), 0).otherwise(1)

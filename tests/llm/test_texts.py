@@ -40,6 +40,14 @@ def test_chair_under_any_label(spark):
     assert [x[:2] for x in speakers(spark, text)[0]] == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_main_speaker_resolves_short_and_damaged_labels():
+    """The stored speaker makes a lone surname a label and gives the speaker's name; another surname stays text."""
+    text = "LIMA: Bom dia a todos. ROMA: uma cidade. O SR. JOSÉ REIS - Obrigado. A SRA. L\ufffdMA - Volto."
+    got = turns.segments(text, "Ana L\u00edma")
+    assert [(name, no) for name, no, *_ in got] == [("Ana Líma", 0), ("JOSÉ REIS", 1), ("Ana Líma", 0)]
+    assert [name for name, *_ in turns.segments("LIMA: Bom dia.", "Rui Reis")] == []
+
+
 def test_labels_that_only_repair_shows(spark):
     got = speakers(spark, "ANA TAXUBUA\u0301: Bom dia.", "ANA TAXUBU\u00c3\u0081: Bom dia, a sessÃ£o está aberta.", "ANA TAXUBUÁ: Bom dia.", "Nada de rótulo aqui.")
     assert {i: [x[:2] for x in t] for i, t in got.items()} == {0: [(1, 1)], 1: [(1, 1)], 2: [(1, 1)]}
@@ -59,10 +67,10 @@ def test_long_and_repeated(spark):
 def test_terms_edge_cases(spark):
     rows = [(1, "PLUM", "casa casa casa casa muro"), (2, None, "casa"), (3, "", None), (4, "PLUM", "   "), (5, "PLUM", "ab 12 !!")]
     d = spark.createDataFrame([(*r, 1) for r in rows], "id long, partido string, discurso string, df int")
-    got = distinctive_terms.scores(d).collect()
+    got = distinctive_terms.scores(distinctive_terms.Collection(d)).collect()
     assert [(r["id"], r["term"], r["tf"], r["df"], r["cf"]) for r in got] == [(1, "casa", 4, 2, 5)]
     empty = spark.createDataFrame([], "id long, partido string, discurso string")
-    assert distinctive_terms.scores(empty).count() == 0 and distinctive_terms.group_scores(empty).count() == 0
+    assert distinctive_terms.scores(distinctive_terms.Collection(empty)).count() == 0 and distinctive_terms.group_scores(distinctive_terms.Collection(empty)).count() == 0
 
 
 # ---------------------------------------------------------------- leaks
@@ -75,9 +83,10 @@ def test_winnowing_guarantee():
         item = [str(r.randrange(200)) for _ in range(r.randint(10, 40))]
         a = r.randrange(len(item) - 9)
         doc = [str(1000 + r.randrange(500)) for _ in range(r.randint(0, 30))] + item[a : a + 10] + [str(1000 + r.randrange(500)) for _ in range(r.randint(0, 30))]
-        index = leaks.build_index([(7, " ".join(item))])
-        got = leaks.longest_runs(leaks._hash_words(doc, table), index)
-        assert got[0][0] >= 10
+        d, i = leaks._hash_words(doc, table), leaks._hash_words(item, table)
+        (p, a), (q, b) = leaks.fingerprints(d), leaks.fingerprints(i)
+        hits = [(int(x), int(y)) for x, f in zip(p, a) for y, g in zip(q, b) if f == g]
+        assert leaks.longest_run(d, i, hits)[0] >= 10
 
 
 def test_leaks_against_brute_force(spark):
@@ -93,15 +102,37 @@ def test_leaks_against_brute_force(spark):
     assert got == want and got
 
 
-def test_leaks_blocks_and_empty(spark, monkeypatch):
+def test_leaks_one_scan_of_the_documents(spark, monkeypatch):
+    """Documents are read once whatever the number of items, and a filter too small for the items loses nothing."""
     text = "um dois três quatro cinco seis sete oito nove dez onze"
-    dd = spark.createDataFrame([(1, "X " + text.upper() + "!")], "doc_id long, text string")
-    ii = spark.createDataFrame([(i, text) for i in range(5)], "item_id long, text string")
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
-    assert leaks.leaks(dd, ii).count() == 5
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    from pyspark.sql import functions as F
+
+    dd = spark.createDataFrame([(1, "X " + text.upper() + "!"), (2, "outro texto de dez palavras que não tem nada em comum aqui")], "doc_id long, text string").withColumn("text", F.udf(counted, "string")("text"))
+    ii = spark.createDataFrame([(i, text) for i in range(300)] + [(900 + i, " ".join(f"p{i}q{k}" for k in range(40))) for i in range(300)], "item_id long, text string")
+    monkeypatch.setattr(leaks, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(leaks, "FILTER_BITS", 1)
+    assert {(r["item_id"], r["doc_id"]) for r in leaks.leaks(dd, ii).collect()} == {(i, 1) for i in range(300)}
+    first = seen.value
+    leaks.leaks(dd, ii.limit(3)).count()
+    assert seen.value == 2 * first  # as often for 3 items as for 600
     assert leaks.leaks(dd, ii.limit(0)).count() == 0 and leaks.leaks(dd.limit(0), ii).count() == 0
 
 
+def test_long_runs_and_places():
+    table = leaks._Hashes()
+    item = leaks._hash_words([str(i) for i in range(40)], table)
+    doc = leaks._hash_words(["x"] * 3 + [str(i) for i in range(5, 30)] + ["y"] + [str(i) for i in range(12)], table)
+    (p, a), (q, b) = leaks.fingerprints(doc), leaks.fingerprints(item)
+    hits = [(int(x), int(y)) for x, f in zip(p, a) for y, g in zip(q, b) if f == g]
+    assert leaks.longest_run(doc, item, hits) == (25, 2)
+
+
 # ---------------------------------------------------------------- quality
 
 PROSE = "O relatório da comissão aponta que as obras não avançaram desde março. Quem responde pela creche? Até agora, ninguém respondeu."
