@@ -9,7 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LETTERS = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝáàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
+#: Latin letters that are an ASCII letter with marks.
+_LETTERS = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii())
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _LETTERS)
 _MARKS = r"[̀-ͯ]"
 WORD = r"(?U)\b[^\W\d_]{2,}\b"
@@ -66,8 +67,8 @@ def bigrams(toks: Column) -> Column:
 
 def without(toks: Column, words: Iterable[str]) -> Column:
     """Tokens that are not among a fixed list of words; order and repeats kept."""
-    stop = F.array(*[F.lit(w) for w in sorted(words)])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    stop = sorted(words)
+    return F.filter(toks, lambda t: ~t.isin(*stop))  # a long list becomes a hash set in the plan
 
 
 def variant_key(c: Column) -> Column:

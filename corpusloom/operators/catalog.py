@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import broadcast_if_small
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str) -> DataFrame:
     """Union with the latest row per key; a new row wins over an old one of the same time."""
@@ -22,7 +24,7 @@ def insert_if_absent(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def replace_where(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of the keys in ``new`` are replaced by ``new``."""
-    return old.join(F.broadcast(new.select(*keys).distinct()), keys, "left_anti").unionByName(new)
+    return old.join(broadcast_if_small(new.select(*keys).distinct()), keys, "left_anti").unionByName(new)
 
 
 def save_texts(speeches: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -81,3 +83,27 @@ def missing_vectors(links: DataFrame, speeches: DataFrame, vectors: DataFrame, m
 def orphans(links: DataFrame, speeches: DataFrame) -> DataFrame:
     """Speeches that no data set holds."""
     return speeches.join(links.select(F.col("speech_id").alias("id")), "id", "left_anti").select("id")
+
+
+def set_state(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with the columns that ``changes`` holds for their key replaced; null in a change means unchanged."""
+    cols = [c for c in changes.columns if c != key]
+    c = changes.select(key, *[F.col(x).alias(f"_{x}") for x in cols])
+    j = rows.join(broadcast_if_small(c), key, "left")
+    return j.select(*[F.coalesce(f"_{x}", x).alias(x) if x in cols else F.col(x) for x in rows.columns])
+
+
+def deleted(rows: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
+    return rows.filter(~F.col(key).isin(*ids)) if ids else rows
+
+
+def cached_totals(totals: DataFrame) -> DataFrame:
+    """(month, total, fetched): the latest stored total of each month, with the day it was fetched."""
+    last = totals.groupBy("month").agg(F.max_by(F.struct("total", "fetched_at"), F.struct("fetched_at", "total")).alias("x"))
+    return last.select("month", "x.total", F.to_date("x.fetched_at").alias("fetched"))
+
+
+def encoding_speed(runs: DataFrame) -> DataFrame:
+    """(model, seconds_per_doc): mean over the runs whose summary holds a measured speed, per model."""
+    r = runs.select(F.from_json("params", "model string")["model"].alias("model"), F.from_json("summary", "segundos double, textos double").alias("s"))
+    return r.filter("model IS NOT NULL AND s.textos > 0").groupBy("model").agg((F.sum("s.segundos") / F.sum("s.textos")).alias("seconds_per_doc"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dims
 from corpusloom.functions import text as T
-from corpusloom.session import BROADCAST_ROWS
 
 GROUPS = ("Esquerda", "Centro", "Direita")
 
@@ -162,12 +161,17 @@ def top_speakers(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def first_by_identity(df: DataFrame) -> DataFrame:
-    """One row per speech: same URL, or without one same date, speaker (any case, trimmed) and text; a row with URL first, then the lowest id."""
-    key = F.struct(F.coalesce("data", F.lit("")).alias("d"), F.upper(F.trim(F.coalesce("orador", F.lit("")))).alias("o"), F.coalesce("discurso", F.lit("")).alias("t"))
-    # the text itself is compared only where its hash agrees
-    d = df.withColumn("_h", F.xxhash64(key)).withColumn("_k", key)
-    w = Window.partitionBy("_h", "_k").orderBy(F.col("url").isNull(), "id")
-    return d.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_h", "_k", "_r")
+    """One row per speech: same date, speaker (any case, trimmed) and text; a row with URL first, then the lowest id.
+
+    Rows without text are speeches of their own. Rows meet on two 64-bit hashes of
+    the identity, so no text goes through the shuffle where the result does not ask for it.
+    """
+    text = F.coalesce("discurso", F.lit(""))
+    key = F.struct(F.coalesce("data", F.lit("")).alias("d"), F.upper(F.trim(F.coalesce("orador", F.lit("")))).alias("o"), text.alias("t"))
+    own = F.when(text == "", F.col("id"))
+    d = df.withColumn("_h", F.xxhash64(key, own)).withColumn("_g", F.xxhash64(F.lit(1), own, key))
+    w = Window.partitionBy("_h", "_g").orderBy(F.col("url").isNull(), "id")
+    return d.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_h", "_g", "_r")
 
 
 def keyword_union(df: DataFrame, order: str, col: str = "keywords") -> DataFrame:
@@ -178,38 +182,77 @@ def keyword_union(df: DataFrame, order: str, col: str = "keywords") -> DataFrame
     return firsts.select("f.keyword", F.col("f." + order).alias("first_in"))
 
 
-def merge_plan(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int]) -> DataFrame:
-    """What merging the data sets would give: common period, rows in, rows kept, repeats; ``error`` if it cannot be done."""
-    d = datasets.filter(F.col("id").isin(*ids))
-    head = d.agg(
-        F.count(F.lit(1)).alias("found"),
-        F.count_if(F.col("status") != "done").alias("open"),
-        F.max(F.to_date("data_inicio")).alias("inicio"),
-        F.min(F.to_date("data_fim")).alias("fim"),
-    )
-    members = links.filter(F.col("dataset_id").isin(*ids)).select("dataset_id", F.col("speech_id").alias("id"))
-    texts = speeches.filter("discurso IS NOT NULL AND discurso <> ''").select("id", "url", "data", "orador", "discurso")
-    joined = members.join(texts, "id")
-    inside = with_dates(joined.select("id", "url", "data", "orador", "discurso").dropDuplicates(["id"])).crossJoin(F.broadcast(head.select("inicio", "fim"))).filter("(inicio IS NULL OR data_dt >= inicio) AND (fim IS NULL OR data_dt <= fim)")
-    kept = first_by_identity(inside).agg(F.count(F.lit(1)).alias("kept"))
-    n_in = joined.agg(F.count(F.lit(1)).alias("rows_in"))
-    n_period = inside.agg(F.count(F.lit(1)).alias("in_period"))
+def periods(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, name, status, keywords, inicio, fim) of the data sets; one without a period has the dates of its first and last speech."""
+    dated = with_dates(links.filter(F.col("dataset_id").isin(*ids)).join(speeches.select(F.col("id").alias("speech_id"), "data"), "speech_id"))
+    span = dated.groupBy(F.col("dataset_id").alias("id")).agg(F.min("data_dt").alias("first"), F.max("data_dt").alias("last"))
+    d = datasets.filter(F.col("id").isin(*ids)).join(span, "id", "left")
+    own = F.col("data_inicio").isNotNull() & (F.col("data_inicio") != "")
+    return d.select("id", "name", "status", "keywords", F.when(own, F.to_date("data_inicio")).otherwise(F.col("first")).alias("inicio"), F.when(own, F.to_date("data_fim")).otherwise(F.col("last")).alias("fim"))
+
+
+def merge_rows(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(head, rows): the common period and what forbids a merge, one row; each speech of the data sets once, and whether it lies inside.
+
+    Repeats go first, then the period decides, so a speech whose kept row lies
+    outside is outside.
+    """
+    d = periods(datasets, links, speeches, ids)
+    head = d.agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("status") != "done").alias("open"), F.count_if(F.col("inicio").isNull()).alias("undated"), F.max("inicio").alias("inicio"), F.min("fim").alias("fim"))
+    wanted = len(set(ids))
     error = (
-        F.when(F.lit(len(set(ids)) < 2), "at least two data sets")
-        .when(F.col("found") < len(set(ids)), "unknown data set")
+        F.when(F.lit(wanted < 2), "at least two data sets")
+        .when(F.col("found") < wanted, "unknown data set")
         .when(F.col("open") > 0, "unfinished data set")
+        .when(F.col("undated") > 0, "no dated speech")
         .when(F.col("inicio") > F.col("fim"), "no common period")
         .otherwise("")
     )
-    return head.crossJoin(n_in).crossJoin(n_period).crossJoin(kept).select("inicio", "fim", "rows_in", "kept", (F.col("in_period") - F.col("kept")).alias("repeated"), error.alias("error"))
+    head = head.select("inicio", "fim", error.alias("error"))
+    members = links.filter(F.col("dataset_id").isin(*ids)).select(F.col("speech_id").alias("id")).distinct()
+    rows = first_by_identity(speeches.select("id", "url", "data", "orador", "discurso").join(members, "id", "left_semi"))
+    rows = rows.select("id", (F.coalesce("discurso", F.lit("")) != "").alias("has_text"), T.br_date(F.col("data")).alias("day")).crossJoin(F.broadcast(head))
+    inside = F.coalesce((F.col("error") == "") & F.col("day").between(F.col("inicio"), F.col("fim")), F.lit(False))
+    return head, rows.select("id", "has_text", inside.alias("inside"))
+
+
+def merge_plan(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int]) -> DataFrame:
+    """What merging the data sets would give: the common period, speeches with text in the data sets, kept inside it, outside it, and repeated; ``error`` if it cannot be done."""
+    head, rows = merge_rows(datasets, links, speeches, ids)
+    texts = speeches.filter("discurso IS NOT NULL AND discurso <> ''").select(F.col("id").alias("speech_id"))
+    n_in = links.filter(F.col("dataset_id").isin(*ids)).join(texts, "speech_id", "left_semi").agg(F.count(F.lit(1)).alias("rows_in"))
+    n = rows.agg(F.count_if(F.col("has_text") & F.col("inside")).alias("kept"), F.count_if(F.col("has_text") & ~F.col("inside")).alias("outside"), F.count_if("has_text").alias("once"))
+    return head.crossJoin(n_in).crossJoin(n).select("inicio", "fim", "rows_in", "kept", "outside", (F.col("rows_in") - F.col("once")).alias("repeated"), "error")
+
+
+def merged(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int], new_id: int) -> DataFrame:
+    """Links of the merged data set, from the rows of the plan: its speeches are shared, never copied; none if the plan has an error."""
+    _, rows = merge_rows(datasets, links, speeches, ids)
+    return rows.filter("inside").select(F.lit(new_id).cast("long").alias("dataset_id"), F.col("id").alias("speech_id"))
+
+
+def merged_record(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int], new_id: int, name: str) -> DataFrame:
+    """The row of the merged data set with where it comes from; no row if the plan has an error."""
+    plan = merge_plan(datasets, links, speeches, ids).filter("error = ''")
+    source = datasets.filter(F.col("id").isin(*ids)).agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("coletas"))
+    words = keyword_union(datasets.filter(F.col("id").isin(*ids) & F.col("keywords").isNotNull()).select("id", "keywords"), "id").agg(F.to_json(F.array_sort(F.collect_list("keyword"))).alias("keywords"))
+    j = plan.crossJoin(F.broadcast(source)).crossJoin(F.broadcast(words))
+    origin = F.to_json(F.struct("coletas", F.col("outside").alias("fora_do_periodo")))
+    return j.select(F.lit(new_id).cast("long").alias("id"), F.lit(name).alias("name"), F.lit("juncao").alias("source"), "keywords", F.date_format("inicio", "yyyy-MM-dd").alias("data_inicio"), F.date_format("fim", "yyyy-MM-dd").alias("data_fim"), F.lit("done").alias("status"), F.col("kept").alias("total_expected"), origin.alias("origem"))
+
 
+def with_p(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """Correlations of at least five years with a two-sided p to four decimals."""
+    from corpusloom.operators.series import pearson_p
 
-def merged(links: DataFrame, speeches: DataFrame, ids: list[int], new_id: int) -> DataFrame:
-    """Links of the merged data set: its speeches are shared, never copied."""
-    d = links.filter(F.col("dataset_id").isin(*ids)).select(F.col("speech_id").alias("id")).distinct()
-    texts = speeches.join(d, "id", "left_semi").filter("discurso IS NOT NULL AND discurso <> ''")
-    return first_by_identity(texts.select("id", "url", "data", "orador", "discurso")).select(F.lit(new_id).cast("long").alias("dataset_id"), F.col("id").alias("speech_id"))
+    p = F.udf(lambda r, n: None if r is None else round(pearson_p(r, n), 4), "double")  # a row per pair of groups
+    exact = pairs.groupBy("g1", "g2").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return exact.select("g1", "g2", F.round("r", 3).alias("r"), p("r", "n").alias("p"), "n")
 
 
-def small_enough(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def scrape_summary(speeches: DataFrame, first: int = 10) -> DataFrame:
+    """One row: records, those with text, mean length of the texts, and whether any of the first texts has an accented letter."""
+    text = F.when(F.col("discurso") != "", F.col("discurso"))
+    head = speeches.filter("discurso <> ''").orderBy("id").limit(first).agg(F.coalesce(F.max(F.col("discurso").rlike("[áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ]")), F.lit(False)).alias("has_accents"))
+    n = speeches.agg(F.count(F.lit(1)).alias("total"), F.count(text).alias("with_text"), F.round(F.sum(F.length(text)) / F.greatest(F.count(text), F.lit(1)), 4).alias("mean_length"))
+    return n.crossJoin(head)

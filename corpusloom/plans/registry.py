@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import skewed_keys, statistics, stored, streams, themes, trends
+from corpusloom.plans import landing, skewed_keys, statistics, stored, streams, themes, trends
 
-_MODULES = (statistics, trends, themes, stored, streams, skewed_keys)
+_MODULES = (statistics, trends, themes, stored, landing, streams, skewed_keys)
 FLAGSHIP = "yearly_group_share"
 
 

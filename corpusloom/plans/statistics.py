@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dims
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, vocabulary
-from corpusloom.plans.tables import CLEAN, prepared, table
+from corpusloom.operators import series as _series
+from corpusloom.plans.tables import CLEAN, END, START, prepared, table
+
+YEARS = _series.complete_years(START, END)
 
 KEYWORDS = ("violência doméstica", "violência", "creche", "orçamento municipal", "rede de postos de saúde")
 #: Themes as patterns on the lower-cased text.
@@ -60,7 +63,7 @@ def cv_by_party(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return corpus.year_pairs(prepared(s, d), corpus.GROUPS, 2002, 2024)
+    return corpus.year_pairs(prepared(s, d), corpus.GROUPS, YEARS[0], YEARS[-1])
 
 
 def pearson_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -226,6 +229,9 @@ t AS (SELECT *, sum(n) OVER (PARTITION BY espectro) AS total, sum(n) OVER (PARTI
 SELECT espectro, word, weight FROM (SELECT espectro, word, round(sqrt(n / total) * ln(1 + avg_words / f), 6) AS weight, row_number() OVER (PARTITION BY espectro ORDER BY sqrt(n / total) * ln(1 + avg_words / f) DESC, word) AS r FROM t, a WHERE classes >= 2) WHERE r <= 25"""),
 }
 _WORDS = r"list_filter(regexp_extract_all(lower(discurso), '[\p{L}\p{M}\p{Nd}\p{Pc}]+'), lambda x: regexp_full_match(x, '[\p{L}\p{M}]{2,}'))"
+#: Pronouns joined to verbs go, twice since neighbours share the character between them; then the words.
+_JOINED = r"'(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])[\p{L}\p{M}]+-(?:me|te|se|lhe|lhes|nos|vos|o|a|os|as|lo|la|los|las|no|na|nas)([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)', '\1 \2', 'gi'"
+_PLAIN_WORDS = _WORDS.replace("lower(discurso)", f"lower(regexp_replace(regexp_replace(discurso, {_JOINED}), {_JOINED}))")
 _FORM = "regexp_replace(strip_accents(form), '[\\x{0300}-\\x{036F}]', '', 'g')"
 SQL["ubiquitous_words"] = _with(f""", w AS (SELECT id, unnest(list_distinct({_WORDS})) AS form FROM clean WHERE discurso IS NOT NULL), f AS (SELECT id, form, {_FORM} AS b FROM w),
 k AS (SELECT id, form, CASE WHEN b LIKE '%s' AND length(b) > 3 THEN left(b, length(b) - 1) ELSE b END AS key FROM f), d AS (SELECT key, count(DISTINCT id) AS n_docs FROM k GROUP BY 1)
@@ -240,3 +246,19 @@ bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chave ORDER BY n
 uf AS (SELECT * FROM (SELECT chave, estado, row_number() OVER (PARTITION BY chave ORDER BY count(*) DESC, estado DESC) AS r FROM d WHERE estado IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
 SELECT t.chave AS speaker, bp.p AS partido, coalesce(uf.estado, '') AS uf, bp.espectro, t.discursos FROM top t JOIN bp USING (chave) LEFT JOIN uf USING (chave)""")
 SQL = {k: v.replace(") , ", "), ") for k, v in SQL.items()}
+
+
+
+def _kept(words) -> str:
+    return f"list_filter({_PLAIN_WORDS}, lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(words)) + "], w))"
+
+
+_PAIRS = "list_filter(list_transform(range(1, len(t)), lambda i: CASE WHEN t[i] <> t[i + 1] THEN t[i] || ' ' || t[i + 1] END), lambda x: x IS NOT NULL)"
+TOKEN_SQL = f"""WITH k AS (SELECT id, {_kept(dims.stopwords())} AS t FROM speeches WHERE discurso IS NOT NULL),
+f AS (SELECT id, t, list_transform(t, lambda w: regexp_replace(strip_accents(w), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')) AS b FROM k)
+SELECT id, len(t) AS n_tokens, len(list_distinct(list_transform(b, lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END))) AS n_keys, len({_PAIRS}) AS n_pairs FROM f"""
+SQL["characteristic_words"] = _with(f""", k AS (SELECT id, espectro, {_kept(dims.stopwords() | dims.party_words(dims.INVENTED_CLASS))} AS t FROM clean WHERE discurso IS NOT NULL AND espectro IN ('Esquerda', 'Centro', 'Direita')),
+w AS (SELECT espectro, unnest(list_distinct(list_concat(t, {_PAIRS}))) AS word FROM k), c AS (SELECT espectro, word, count(*) AS y FROM w GROUP BY 1, 2), ca AS (SELECT *, sum(y) OVER (PARTITION BY word) AS alpha FROM c), cf AS (SELECT * FROM ca WHERE alpha >= 5),
+n AS (SELECT *, sum(y) OVER (PARTITION BY espectro) AS ni, sum(y) OVER () AS a0 FROM cf), d AS (SELECT espectro, count(*) AS docs, sum(count(*)) OVER () AS all_docs FROM k GROUP BY 1),
+z AS (SELECT n.espectro, word, y, alpha - y AS o, docs, all_docs, (ln((y + alpha) / (ni + a0 - y - alpha)) - ln((2 * alpha - y) / (2 * a0 - ni - 2 * alpha + y))) / sqrt(1 / (y + alpha) + 1 / (2 * alpha - y)) AS z FROM (SELECT espectro, word, y::DOUBLE AS y, alpha::DOUBLE AS alpha, ni::DOUBLE AS ni, a0::DOUBLE AS a0 FROM n) n JOIN d USING (espectro))
+SELECT espectro, word, round(z, 4) AS z, CAST(y AS BIGINT) AS discursos, round(100 * y / docs, 1) AS pct, round(100 * o / CASE WHEN all_docs > docs THEN all_docs - docs END, 1) AS pct_outros FROM (SELECT *, row_number() OVER (PARTITION BY espectro ORDER BY z DESC, word) AS r FROM z WHERE z > 0) WHERE r <= 25""")

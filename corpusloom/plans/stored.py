@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import catalog, corpus
-from corpusloom.plans.tables import table
+from corpusloom.operators import catalog, corpus, series
+from corpusloom.plans.tables import _DATE, table
 
 MODEL = "enc-largo-v2"
-MERGE = [1, 2]
 
 
 def _t(s: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -65,16 +66,46 @@ def keyword_union(s: SparkSession, d: str) -> DataFrame:
 
 def merge_plan(s: SparkSession, d: str) -> DataFrame:
     p = corpus.merge_plan(*_t(s, d, "datasets", "dataset_speeches", "speeches"), _done(s, d))
-    return p.select(F.coalesce(F.date_format("inicio", "yyyy-MM-dd"), F.lit("")).alias("inicio"), F.coalesce(F.date_format("fim", "yyyy-MM-dd"), F.lit("")).alias("fim"), "rows_in", "kept", "repeated", "error")
+    return p.select(F.coalesce(F.date_format("inicio", "yyyy-MM-dd"), F.lit("")).alias("inicio"), F.coalesce(F.date_format("fim", "yyyy-MM-dd"), F.lit("")).alias("fim"), "rows_in", "kept", "outside", "repeated", "error")
 
 
 def _done(s: SparkSession, d: str) -> list[int]:
-    """The first two finished data sets with a period."""
-    return [r["id"] for r in table(s, d, "datasets").filter("status = 'done' AND data_inicio IS NOT NULL AND data_fim IS NOT NULL").orderBy("id").limit(2).select("id").collect()]
+    """The first two finished data sets with a period and the first without."""
+    done = table(s, d, "datasets").filter("status = 'done'")
+    first = done.filter("data_inicio IS NOT NULL AND data_fim IS NOT NULL").orderBy("id").limit(2).unionByName(done.filter("data_inicio IS NULL").orderBy("id").limit(1))
+    return [r["id"] for r in first.select("id").collect()]
 
 
 def merge_links(s: SparkSession, d: str) -> DataFrame:
-    return corpus.merged(*_t(s, d, "dataset_speeches", "speeches"), MERGE, 1000)
+    return corpus.merged(*_t(s, d, "datasets", "dataset_speeches", "speeches"), _done(s, d), 1000)
+
+
+def merge_record(s: SparkSession, d: str) -> DataFrame:
+    """The merged data set's own row, with where it comes from."""
+    return corpus.merged_record(*_t(s, d, "datasets", "dataset_speeches", "speeches"), _done(s, d), 1000, "junção").select("id", "name", "source", "data_inicio", "data_fim", "status", "total_expected")
+
+
+def run_states(s: SparkSession, d: str) -> DataFrame:
+    """Running runs are set to failed with a message, pending ones deleted."""
+    r = table(s, d, "runs").select("id", "status", "error")
+    change = r.filter("status = 'running'").select("id", F.lit("failed").alias("status"), F.lit("interrompida").alias("error"))
+    pending = [x["id"] for x in r.filter("status = 'pending'").select("id").collect()]  # runs are catalog entries
+    return catalog.deleted(catalog.set_state(r, change), pending).select("id", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def cached_totals(s: SparkSession, d: str) -> DataFrame:
+    c = catalog.cached_totals(table(s, d, "plenary_month_totals"))
+    return c.select("month", F.coalesce("total", F.lit(-1)).alias("total"), F.date_format("fetched", "yyyy-MM-dd").alias("fetched"))
+
+
+def month_total_plan(s: SparkSession, d: str) -> DataFrame:
+    """Totals of a period that begins and ends inside a month: what the store answers and what has to be asked for."""
+    p = series.total_plan(s, table(s, d, "plenary_month_totals"), date(2003, 2, 10), date(2024, 11, 20))
+    return p.select("month", F.date_format("first", "yyyy-MM-dd").alias("first_day"), F.date_format("last", "yyyy-MM-dd").alias("last_day"), "whole", F.coalesce("total", F.lit(-1)).alias("total"))
+
+
+def scrape_summary(s: SparkSession, d: str) -> DataFrame:
+    return corpus.scrape_summary(table(s, d, "speeches").select("id", "discurso"))
 
 
 def insert_if_absent(s: SparkSession, d: str) -> DataFrame:
@@ -137,11 +168,17 @@ def concat_dedupe(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "dataset_listing": dataset_listing, "dataset_frame": dataset_frame, "vector_count": vector_count, "vector_scan": vector_scan, "run_listing": run_listing, "anti_missing_embeddings": missing_vectors,
-    "orphans_anti": orphans_anti, "dedup_keep_first": dedup_keep_first, "keyword_union": keyword_union, "merge_periods": merge_plan, "merge_links": merge_links, "insert_if_absent": insert_if_absent,
+    "orphans_anti": orphans_anti, "dedup_keep_first": dedup_keep_first, "keyword_union": keyword_union, "merge_periods": merge_plan, "merge_links": merge_links, "merge_record": merge_record, "run_states": run_states, "cached_totals": cached_totals, "month_total_plan": month_total_plan, "scrape_summary": scrape_summary, "insert_if_absent": insert_if_absent,
     "upsert_totals": upsert_totals, "replace_seats": replace_seats, "save_texts": save_texts, "cascade_delete": cascade_delete, "startup_repair": startup_repair, "seats_map": seats_map, "concat_dedupe": concat_dedupe,
 }
 
 _FIRST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(data, ''), upper(trim(coalesce(orador, ''))), coalesce(discurso, '') ORDER BY url IS NULL, id) AS r FROM {0}) WHERE r = 1"""
+_MERGE = f"""WITH src AS (SELECT * FROM (SELECT * FROM datasets WHERE status = 'done' AND data_inicio IS NOT NULL AND data_fim IS NOT NULL ORDER BY id LIMIT 2) UNION ALL (SELECT * FROM datasets WHERE status = 'done' AND data_inicio IS NULL ORDER BY id LIMIT 1)),
+dt AS (SELECT *, {_DATE} AS day FROM speeches), sp AS (SELECT l.dataset_id, min(day) AS a, max(day) AS z FROM dt JOIN dataset_speeches l ON l.speech_id = dt.id GROUP BY 1),
+h AS (SELECT max(coalesce(CAST(data_inicio AS DATE), a)) AS inicio, min(CASE WHEN data_inicio IS NULL THEN z ELSE CAST(data_fim AS DATE) END) AS fim FROM src LEFT JOIN sp ON sp.dataset_id = src.id),
+m AS (SELECT dt.*, coalesce(discurso, '') <> '' AS has FROM dt JOIN dataset_speeches l ON l.speech_id = dt.id WHERE l.dataset_id IN (SELECT id FROM src)),
+u AS (SELECT DISTINCT id, url, data, orador, discurso, day, has FROM m),
+k AS (SELECT id, has, coalesce(day BETWEEN h.inicio AND h.fim, false) AS inside FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN has THEN -1 ELSE id END, coalesce(data, ''), upper(trim(coalesce(orador, ''))), coalesce(discurso, '') ORDER BY url IS NULL, id) AS r FROM u), h WHERE r = 1)"""
 _TEXT = "discurso IS NOT NULL AND discurso <> ''"
 SQL = {
     "dataset_listing": """SELECT d.id, any_value(d.name) AS name, any_value(d.status) AS status, count(s.id) AS n_speeches, count(s.discurso) AS n_text, CAST(sum(CASE WHEN s.id IS NOT NULL AND s.discurso IS NULL AND s.fetch_failures > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed
@@ -155,12 +192,14 @@ FROM datasets d LEFT JOIN dataset_speeches l ON l.dataset_id = d.id LEFT JOIN sp
     "dedup_keep_first": f"SELECT id, url IS NOT NULL AS has_url FROM ({_FIRST.format(f'(SELECT * FROM speeches WHERE {_TEXT})')})",
     "keyword_union": """WITH k AS (SELECT id, trim(unnest(from_json(keywords, '["VARCHAR"]'))) AS keyword, unnest(range(len(from_json(keywords, '["VARCHAR"]')))) AS pos FROM datasets WHERE keywords IS NOT NULL)
 SELECT keyword, id AS first_in FROM (SELECT *, row_number() OVER (PARTITION BY lower(keyword) ORDER BY id, pos) AS r FROM k WHERE keyword <> '') WHERE r = 1""",
-    "merge_periods": rf"""WITH two AS (SELECT * FROM datasets WHERE status = 'done' AND data_inicio IS NOT NULL AND data_fim IS NOT NULL ORDER BY id LIMIT 2), h AS (SELECT max(CAST(data_inicio AS DATE)) AS inicio, min(CAST(data_fim AS DATE)) AS fim FROM two),
-m AS (SELECT s.* FROM speeches s JOIN dataset_speeches l ON l.speech_id = s.id WHERE l.dataset_id IN (SELECT id FROM two) AND {_TEXT}),
-i AS (SELECT DISTINCT id, url, data, orador, discurso FROM m, h WHERE regexp_full_match(data, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') AND CAST(try_strptime(data, '%d/%m/%Y') AS DATE) BETWEEN h.inicio AND h.fim),
-k AS (SELECT count(*) AS kept FROM ({_FIRST.format('i')}))
-SELECT CAST(inicio AS VARCHAR) AS inicio, CAST(fim AS VARCHAR) AS fim, (SELECT count(*) FROM m) AS rows_in, kept, (SELECT count(*) FROM i) - kept AS repeated, CASE WHEN inicio > fim THEN 'no common period' ELSE '' END AS error FROM h, k""",
-    "merge_links": f"SELECT CAST(1000 AS BIGINT) AS dataset_id, id AS speech_id FROM ({_FIRST.format(f'(SELECT * FROM speeches WHERE {_TEXT} AND id IN (SELECT speech_id FROM dataset_speeches WHERE dataset_id IN (1, 2)))')})",
+    "merge_periods": f"{_MERGE} SELECT CAST(inicio AS VARCHAR) AS inicio, CAST(fim AS VARCHAR) AS fim, (SELECT count(*) FROM m WHERE has) AS rows_in, (SELECT count(*) FROM k WHERE has AND inside) AS kept, (SELECT count(*) FROM k WHERE has AND NOT inside) AS outside, (SELECT count(*) FROM m WHERE has) - (SELECT count(*) FROM k WHERE has) AS repeated, CASE WHEN inicio > fim THEN 'no common period' ELSE '' END AS error FROM h",
+    "merge_links": f"{_MERGE} SELECT CAST(1000 AS BIGINT) AS dataset_id, id AS speech_id FROM k WHERE inside",
+    "merge_record": f"{_MERGE} SELECT CAST(1000 AS BIGINT) AS id, 'junção' AS name, 'juncao' AS source, CAST(inicio AS VARCHAR) AS data_inicio, CAST(fim AS VARCHAR) AS data_fim, 'done' AS status, (SELECT count(*) FROM k WHERE has AND inside) AS total_expected FROM h WHERE inicio <= fim",
+    "run_states": "SELECT id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN 'interrompida' ELSE coalesce(error, '') END AS error FROM runs WHERE status <> 'pending'",
+    "cached_totals": "SELECT month, coalesce(arg_max(total, fetched_at), -1) AS total, CAST(CAST(max(fetched_at) AS DATE) AS VARCHAR) AS fetched FROM plenary_month_totals GROUP BY 1",
+    "month_total_plan": """WITH c AS (SELECT CAST(unnest(generate_series(DATE '2003-02-01', DATE '2024-11-20', INTERVAL 1 MONTH)) AS DATE) AS m), p AS (SELECT m, greatest(m, DATE '2003-02-10') AS a, least(last_day(m), DATE '2024-11-20') AS z FROM c)
+SELECT strftime(m, '%Y-%m') AS month, CAST(a AS VARCHAR) AS first_day, CAST(z AS VARCHAR) AS last_day, a = m AND z = last_day(m) AS whole, coalesce(CASE WHEN a = m AND z = last_day(m) AND CAST(t.fetched_at AS DATE) >= last_day(m) + 90 THEN t.total END, -1) AS total FROM p LEFT JOIN plenary_month_totals t ON t.month = strftime(m, '%Y-%m')""",
+    "scrape_summary": "WITH f AS (SELECT discurso FROM speeches WHERE discurso <> '' ORDER BY id LIMIT 10) SELECT count(*) AS total, count(*) FILTER (discurso <> '') AS with_text, round(sum(length(discurso)) FILTER (discurso <> '')::DOUBLE / count(*) FILTER (discurso <> ''), 4) AS mean_length, (SELECT bool_or(regexp_matches(discurso, '[áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ]')) FROM f) AS has_accents FROM speeches",
     "insert_if_absent": "SELECT id, discurso IS NULL AS pending FROM speeches WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM speeches JOIN dataset_speeches ON speech_id = id WHERE dataset_id = 1 AND url IS NOT NULL)",
     "upsert_totals": "SELECT month, coalesce(total + 1, -1) AS total FROM plenary_month_totals",
     "replace_seats": "SELECT CAST(legislatura AS BIGINT) AS legislatura, partido, CAST(deputados + (legislatura = 56)::INT AS BIGINT) AS deputados FROM bancadas_posse",

@@ -13,7 +13,7 @@ from corpusloom.streaming import ingest
 def stream_once(s: SparkSession, d: str) -> DataFrame:
     """Every event once, counted per kind, by a stream that drops repeats."""
     e = ingest.once(ingest.event_stream(s, d, "events.parquet"), "event_id", "ts", "60 days")
-    return ingest.run_to_memory(e.select("event_id", "event_type"), f"once_{uuid.uuid4().hex}").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.run_to_table(e.select("event_id", "event_type")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_windows(s: SparkSession, d: str) -> DataFrame:

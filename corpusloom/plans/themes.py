@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import cleaning, dims
 from corpusloom.functions import text as T
 from corpusloom.operators import accents, corpus, topics
+from corpusloom.plans.statistics import TOKEN_SQL
 from corpusloom.plans.tables import CLEAN, prepared, table
 
 MODEL = "enc-largo-v2"
@@ -198,3 +199,7 @@ w AS (SELECT id, len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda
 g AS (SELECT *, max(freq) OVER (PARTITION BY bare) AS top FROM f), k AS (SELECT * FROM g WHERE freq >= top * CASE WHEN word <> bare THEN 0.01 ELSE 0.03 END)
 SELECT bare, string_agg(word, ' ' ORDER BY (word = bare), freq DESC, word) AS forms FROM k GROUP BY bare HAVING bool_or(word <> bare)""",
 }
+SQL["token_counts"] = TOKEN_SQL
+_BARE = r"regexp_replace(strip_accents({0}), '[\x{{0300}}-\x{{036F}}]', '', 'g')"
+SQL["text_folds"] = rf"""WITH n AS (SELECT DISTINCT orador, trim(orador) AS t, list_transform(string_split(trim(regexp_replace(lower(trim(orador)), '\s+', ' ', 'g')), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('da', 'de', 'do', 'das', 'dos', 'e') THEN w ELSE upper(w[1]) || w[2:] END) AS w FROM speeches WHERE orador IS NOT NULL)
+SELECT orador, {_BARE.format('lower(orador)')} AS folded, upper(regexp_replace(trim(regexp_replace({_BARE.format('orador')}, '\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')) AS name, CASE WHEN t = upper(t) THEN array_to_string(w, ' ') ELSE t END AS shown FROM n"""

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     sc.setCheckpointDir(made)
     return made
@@ -100,3 +104,17 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROAD
     """Hint a broadcast only where the counted rows are few; else leave the join to AQE."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= most else df
+
+
+def ship(spark: SparkSession, files: tuple[str, ...] = ()) -> None:
+    """Sends this package, and files such as a tokenizer's vocabulary, to the executors of a cluster; locally nothing is needed."""
+    if spark.sparkContext.master.startswith("local["):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path("corpusloom") / f.relative_to(root)))
+    spark.sparkContext.addPyFile(str(path))
+    for f in files:
+        spark.sparkContext.addFile(f)

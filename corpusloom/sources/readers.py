@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.functions.cleaning import html_to_text, listing_rows
+from corpusloom.session import BROADCAST_ROWS
 
 COLUMNS = ("Data", "Sessao", "Orador", "Partido", "Estado", "Fase", "Hora", "Discurso")
 SPEECH = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -32,12 +33,31 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def named(df: DataFrame) -> DataFrame:
-    """The eight columns in order; an accented heading is accepted, absent optional ones are null."""
+    """The eight columns in order, all required; an accented heading is accepted."""
     d = df.withColumnRenamed("Sessão", "Sessao")
-    missing = [c for c in ("Data", "Orador", "Discurso") if c not in d.columns]
+    missing = [c for c in COLUMNS if c not in d.columns]
     if missing:
         raise ImportRefused(f"columns missing: {', '.join(missing)}")
-    return d.select(*[(F.col(c) if c in d.columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS])
+    return d.select(*[F.col(c).cast("string").alias(c) for c in COLUMNS])
+
+
+def is_utf8(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether every file is valid UTF-8 (a replacement character that was written as such is valid), decoded piece by piece."""
+
+    def bad(content: bytes) -> bool:
+        import codecs
+
+        read = codecs.getincrementaldecoder("utf-8")()
+        try:
+            for at in range(0, len(content), 1 << 20):
+                read.decode(content[at : at + (1 << 20)])
+            read.decode(b"", final=True)
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    test = F.pandas_udf(lambda c: c.map(bad), "boolean")
+    return not spark.read.format("binaryFile").load(path).select(test("content").alias("bad")).filter("bad").limit(1).count()
 
 
 def accent_share(df: DataFrame, text: str = "Discurso") -> float | None:
@@ -48,22 +68,22 @@ def accent_share(df: DataFrame, text: str = "Discurso") -> float | None:
 
 def import_csv(spark: SparkSession, path: str) -> DataFrame:
     """A file as speeches: nulls become '', blank texts go. Refused: columns missing, not UTF-8, nothing left, most long texts without accents."""
-    d = named(read_csv(spark, path)).fillna("")
-    if d.filter(F.col("Discurso").contains("�") | F.col("Orador").contains("�")).limit(1).count():
+    if not is_utf8(spark, path):
         raise ImportRefused("the file is not UTF-8")
-    d = d.filter(F.col("Discurso").rlike(r"\S"))
-    if not d.limit(1).count():
+    d = named(read_csv(spark, path)).fillna("").filter(F.col("Discurso").rlike(r"\S"))
+    long = F.length("Discurso") > LONG_TEXT
+    n, share = d.agg(F.count(F.lit(1)), F.avg(F.when(long, F.col("Discurso").rlike(ACCENTED).cast("int")))).first()  # one pass for both tests
+    if not n:
         raise ImportRefused("no speech with text")
-    share = accent_share(d)
     if share is not None and share < ACCENT_SHARE:
         raise ImportRefused("the texts have lost their accents")
     return d
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Imported rows in the stored schema, without URL; ids from the rows' place."""
+def stored(df: DataFrame, after: int = 0) -> DataFrame:
+    """Imported rows in the stored schema, without URL; ids from the rows' place, above ``after``, the largest stored id."""
     low = df.select(*[F.col(c).alias(c.lower()) for c in COLUMNS])
-    return low.select((F.monotonically_increasing_id() + 1).alias("id"), F.lit(None).cast("string").alias("url"), *[c.lower() for c in COLUMNS], F.lit(0).alias("fetch_failures"))
+    return low.select((F.monotonically_increasing_id() + 1 + after).alias("id"), F.lit(None).cast("string").alias("url"), *[c.lower() for c in COLUMNS], F.lit(0).alias("fetch_failures"))
 
 
 # ---------------------------------------------------------------- landed pages
@@ -98,12 +118,17 @@ def speakers_of(listing: DataFrame) -> DataFrame:
 
 
 def match_speakers(names: DataFrame, people: DataFrame) -> DataFrame:
-    """(orador, id): the person of exactly that name, else the first one whose name holds it or is held by it. People are a bounded register."""
+    """(orador, id): the person of exactly that name, else the first one whose name holds it or is held by it.
+
+    People are a register: one of more rows than a broadcast may have is refused.
+    """
     key = lambda c: X.norm_name(F.col(c))
     n = names.select("orador", key("orador").alias("k"))
     p = people.select("id", key("nome").alias("pk"))
     exact = n.join(p, n["k"] == p["pk"]).groupBy("orador").agg(F.min("id").alias("id"))
     rest = n.join(exact.select("orador"), "orador", "left_anti")
+    if p.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"a register of more than {BROADCAST_ROWS} people")
     part = rest.join(F.broadcast(p), F.col("k").contains(F.col("pk")) | F.col("pk").contains(F.col("k"))).groupBy("orador").agg(F.min("id").alias("id"))
     return exact.unionByName(part)
 
@@ -113,11 +138,30 @@ _REST = "dataHoraInicio string, faseEvento struct<titulo: string>, tipoDiscurso
 
 def rest_speeches(records: DataFrame) -> DataFrame:
     """Landed REST records (json) in the speech columns: phase from the event or the kind, local date and hour from the ISO time."""
-    r = records.select(F.from_json("json", _REST).alias("r")).select("r.*")
-    t = F.try_to_timestamp("dataHoraInicio")
-    return r.select(
-        F.date_format(t, "dd/MM/yyyy").alias("data"), F.date_format(t, "HH'h'mm").alias("hora"), F.coalesce(F.col("faseEvento.titulo"), "tipoDiscurso").alias("fase"), F.col("transcricao").alias("discurso")
-    )
+    return records.select(rest_speech(F.col("json")).alias("r")).select("r.*")
+
+
+def rest_speech(json: Column) -> Column:
+    r = F.from_json(json, _REST)
+    t = F.try_to_timestamp(r["dataHoraInicio"])
+    return F.struct(F.date_format(t, "dd/MM/yyyy").alias("data"), F.date_format(t, "HH'h'mm").alias("hora"), F.coalesce(r["faseEvento"]["titulo"], r["tipoDiscurso"]).alias("fase"), r["transcricao"].alias("discurso"))
+
+
+def rest_pages(pages: DataFrame) -> DataFrame:
+    """(entity, json): the records of landed REST pages (entity, page, body), page by page until an entity's first empty one."""
+    body = F.from_json("body", "dados array<string>")["dados"]
+    p = pages.select("entity", "page", F.coalesce(body, F.array().cast("array<string>")).alias("records"))
+    ends = p.filter(F.size("records") == 0).groupBy("entity").agg(F.min("page").alias("end"))
+    kept = p.join(ends, "entity", "left").filter(F.col("end").isNull() | (F.col("page") < F.col("end")))
+    return kept.select("entity", "page", F.posexplode("records").alias("pos", "json"))
+
+
+def hybrid(listing: DataFrame, people: DataFrame, pages: DataFrame, keywords: list[str]) -> DataFrame:
+    """Speakers from one source, texts from another: the listing's speakers matched to people, these people's speeches with any of the keywords."""
+    hit = match_speakers(speakers_of(listing), people)
+    records = rest_pages(pages).join(hit.select(F.col("id").alias("entity"), "orador"), "entity")
+    texts = records.select("orador", "entity", rest_speech(F.col("json")).alias("r")).select("orador", "entity", "r.*")
+    return keyword_filter(texts, keywords)
 
 
 def keyword_filter(df: DataFrame, keywords: list[str], text: str = "discurso") -> DataFrame:

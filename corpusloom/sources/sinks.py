@@ -63,7 +63,7 @@ def write_csv(df: DataFrame, path: str) -> int:
 
 def write_csv_parts(df: DataFrame, path: str) -> None:
     """The same for machines: as many files as partitions."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def embed_html(doc: dict, template: str = "<html><script>const DATA = {};</script></html>") -> str:
@@ -72,14 +72,14 @@ def embed_html(doc: dict, template: str = "<html><script>const DATA = {};</scrip
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors appended to a cache, one folder per model."""
-    vectors.write.mode("append").partitionBy("model").parquet(path)
+    """Vectors appended to a cache, one folder per model, with the time they were stored."""
+    vectors.withColumn("stored_at", F.current_timestamp()).write.mode("append").partitionBy("model").parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str, model: str) -> DataFrame:
     """Latest vector per key of one model; only that model's folder is read."""
     v = spark.read.parquet(path).filter(F.col("model") == model)
-    return v.groupBy("speech_id").agg(F.any_value("vector").alias("vector"))
+    return v.groupBy("speech_id").agg(F.max_by("vector", "stored_at").alias("vector"))
 
 
 def replace_partition(df: DataFrame, path: str, by: str) -> None:

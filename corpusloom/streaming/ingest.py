@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_dir
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -30,23 +33,40 @@ def change_feed(stream: DataFrame, state: str, emit: Callable[[list], None], che
     """Calls ``emit`` with the (id, state) pairs that differ from what was emitted before, per micro-batch.
 
     Ids are entries of the catalog (data sets or runs), so there are few; what is
-    compared is the latest row of the batch.
+    compared is the latest row of the batch. What was emitted is a table beside
+    the checkpoint, one folder per batch: after a restart nothing is emitted
+    twice, and a batch that is run again compares with the batches before it.
     """
-    seen: dict[int, str] = {}
+    store = f"{checkpoint.rstrip('/')}/emitted"
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
         last = df.groupBy("id").agg(F.max_by(state, "ts").alias(state))
-        # one row per id that changed in this batch
-        new = [(r["id"], r[state]) for r in last.toLocalIterator() if seen.get(r["id"]) != r[state]]
-        seen.update(new)
-        if new:
-            emit(new)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        new = last
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            before = spark.read.schema(f"id long, {state} string, batch long").parquet(store).filter(F.col("batch") < number)
+            known = before.groupBy("id").agg(F.max_by(state, "batch").alias("_known"))
+            new = last.join(known, "id", "left").filter(~F.col(state).eqNullSafe(F.col("_known"))).drop("_known")
+        rows = [(r["id"], r[state]) for r in new.orderBy("id").collect()]  # one row per id that changed in this batch
+        if rows:
+            emit(rows)
+            spark.createDataFrame(rows, f"id long, {state} string").write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """A stream over what is there now, run to its end, as a table."""
+def run_to_table(df: DataFrame) -> DataFrame:
+    """An append stream over what is there now, run to its end, as a table in the shared folder; no row meets the driver."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """An aggregating stream over what is there now, run to its end; its few groups are held by the driver."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
