@@ -183,12 +183,12 @@ def keyword_union(df: DataFrame, order: str, col: str = "keywords") -> DataFrame
 
 
 def periods(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int]) -> DataFrame:
-    """(id, name, status, keywords, inicio, fim) of the data sets; one without a period has the dates of its first and last speech."""
+    """(id, status, inicio, fim) of the data sets; one without a period has the dates of its first and last speech."""
     dated = with_dates(links.filter(F.col("dataset_id").isin(*ids)).join(speeches.select(F.col("id").alias("speech_id"), "data"), "speech_id"))
     span = dated.groupBy(F.col("dataset_id").alias("id")).agg(F.min("data_dt").alias("first"), F.max("data_dt").alias("last"))
     d = datasets.filter(F.col("id").isin(*ids)).join(span, "id", "left")
     own = F.col("data_inicio").isNotNull() & (F.col("data_inicio") != "")
-    return d.select("id", "name", "status", "keywords", F.when(own, F.to_date("data_inicio")).otherwise(F.col("first")).alias("inicio"), F.when(own, F.to_date("data_fim")).otherwise(F.col("last")).alias("fim"))
+    return d.select("id", "status", F.when(own, F.to_date("data_inicio")).otherwise(F.col("first")).alias("inicio"), F.when(own, F.to_date("data_fim")).otherwise(F.col("last")).alias("fim"))
 
 
 def merge_rows(datasets: DataFrame, links: DataFrame, speeches: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:

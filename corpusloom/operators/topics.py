@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ NOISE = -1
 CUT, SECOND, UNSURE = 0.5, 0.2, 0.5
 #: Distinct signatures the linkage on the driver takes; beyond that it refuses.
 MOST_NODES = 5_000
+#: Clusterings fitted side by side.
+FITS_AT_ONCE = 4
 
 
 def min_cluster_size(n: int, floor: int = 15) -> int:
@@ -31,6 +34,11 @@ def cache_key(model: str, tokens: int, chunk: int, version: int) -> str:
     return f"{model}|{tokens}|{chunk}|{version}"
 
 
+def content_key(text: F.Column, model: str, tokens: int, chunk: int, version: int) -> F.Column:
+    """The same with a hash of the text: equal texts share one stored vector, whatever their ids."""
+    return F.sha2(F.concat_ws("|", F.lit(cache_key(model, tokens, chunk, version)), text), 256)
+
+
 # ------------------------------------------------------------ vectors
 
 
@@ -76,11 +84,15 @@ def hashing_encoder(width: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def seeded_runs(vectors: DataFrame, k: int, seeds: list[int], noise_share: float = 0.0) -> DataFrame:
-    """(run, id, cluster) of k-means with each seed; the farthest share of each run is left out as noise."""
+    """(run, id, cluster) of k-means with each seed; the farthest share of each run is left out as noise.
+
+    The seeds are fitted side by side: each fit is many short jobs, which alone would leave most cores idle.
+    """
     v = cut(vectors.select("id", "vector", unit().alias("u")).filter("u IS NOT NULL").select("id", array_to_vector("u").alias("features")))
     out = None
-    for i, seed in enumerate(seeds):
-        model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=15).fit(v)
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        models = pool.map(lambda seed: KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=15).fit(v), seeds)
+    for i, model in enumerate(models):
         a = model.transform(v).select(F.lit(i).alias("run"), "id", F.col("prediction").alias("cluster"), "features")
         if noise_share > 0:
             centres = v.sparkSession.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(model.clusterCenters())], "cluster int, c array<double>")
@@ -95,34 +107,48 @@ def seeded_runs(vectors: DataFrame, k: int, seeds: list[int], noise_share: float
 
 
 def linkage_labels(signatures: np.ndarray, weights: np.ndarray, runs: int, threshold: float = CUT) -> np.ndarray:
-    """Average linkage of weighted signatures (cluster per run, -1 noise), cut at the distance; labels per signature."""
+    """Average linkage of weighted signatures (cluster per run, -1 noise), cut at the distance; labels per signature.
+
+    Chains of nearest neighbours: two groups nearest to each other are merged at
+    once, which average linkage allows, so the work is quadratic in the nodes. A
+    group whose nearest neighbour lies beyond the cut is finished.
+    """
     n = len(signatures)
     if n > MOST_NODES:
         raise ValueError(f"{n} different signatures; the linkage takes {MOST_NODES}")
-    sim = np.zeros((n, n))
+    dist = np.ones((n, n), np.float32)
     for r in range(runs):
         c = signatures[:, r]
-        sim += (c[:, None] == c[None, :]) & (c[:, None] != NOISE)
-    dist = 1 - sim / runs
+        dist -= ((c[:, None] == c[None, :]) & (c[:, None] != NOISE)) / np.float32(runs)
     np.fill_diagonal(dist, np.inf)
-    size = weights.astype(float).copy()
-    member = {i: [i] for i in range(n)}
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(int(np.argmin(dist)), dist.shape)
-        if dist[i, j] > threshold:
-            break
-        new = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
-        dist[i], dist[:, i] = new, new
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        member[i] += member.pop(j)
-        alive[j] = False
-    out = np.empty(n, int)
-    for label, rows in enumerate(member.values()):
-        out[rows] = label
-    return out
+    size = weights.astype(float)
+    home = np.arange(n)
+    open_groups = dict.fromkeys(range(n))
+    chain: list[int] = []
+    while open_groups:
+        if not chain:
+            chain.append(next(iter(open_groups)))
+        i = chain[-1]
+        j = int(dist[i].argmin())
+        if len(chain) > 1 and dist[i, chain[-2]] <= dist[i, j]:
+            j = chain[-2]
+        if not dist[i, j] <= threshold + 1e-6:
+            open_groups.pop(i)
+            dist[i], dist[:, i] = np.inf, np.inf
+            chain.pop()
+        elif len(chain) > 1 and j == chain[-2]:
+            del chain[-2:]
+            keep, gone = min(i, j), max(i, j)
+            new = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
+            new[[i, j]] = np.inf
+            dist[keep], dist[:, keep] = new, new
+            dist[gone], dist[:, gone] = np.inf, np.inf
+            size[keep] = size[i] + size[j]
+            home[home == gone] = keep
+            open_groups.pop(gone)
+        else:
+            chain.append(j)
+    return np.unique(home, return_inverse=True)[1]
 
 
 def consensus(runs: DataFrame, n_runs: int, least: int) -> DataFrame:
@@ -232,14 +258,35 @@ def plane(vectors: DataFrame, digits: int = 2) -> DataFrame:
     return p.select("id", F.round(F.col("p")[0], digits).alias("x"), F.round(F.col("p")[1], digits).alias("y"))
 
 
-def kmeans_grid(vectors: DataFrame, ks: range, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """(k, silhouette, chosen): k-means on all vectors for several k, its silhouette on a bounded sample of them, and the first best k."""
+def kmeans_grid(vectors: DataFrame, ks: range, words: DataFrame | None = None, sample: int = 5000, seed: int = 42) -> DataFrame:
+    """(k, silhouette, diversity, score, chosen): k-means on all vectors for several k.
+
+    The silhouette is taken on a bounded sample; ``words`` is (id, word, n), and the
+    diversity is the share of different words among the ten most frequent of each
+    cluster. Both scaled to their range and added give the score, the first best k
+    is chosen; without words the diversity is 0 for all.
+    """
     v = cut(vectors.select("id", unit().alias("u")).filter("u IS NOT NULL").select("id", array_to_vector("u").alias("features")))
+    if not v.limit(1).count():
+        return vectors.sparkSession.createDataFrame([], "k int, silhouette double, diversity double, score double, chosen boolean")
     some = cut(v.orderBy(F.xxhash64("id")).limit(sample))
-    ev = ClusteringEvaluator(distanceMeasure="cosine")
-    rows = [(k, float(ev.evaluate(KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(v).transform(some)))) for k in ks]
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0] if rows else None
-    return vectors.sparkSession.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, chosen boolean")
+
+    def one(k: int) -> tuple[float, float]:
+        model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(v)
+        silhouette = float(ClusteringEvaluator(distanceMeasure="cosine").evaluate(model.transform(some)))
+        if words is None:
+            return silhouette, 0.0
+        c = words.join(model.transform(v).select("id", "prediction"), "id").groupBy("prediction", "word").agg(F.sum("n").alias("n"))
+        top = c.withColumn("r", F.row_number().over(Window.partitionBy("prediction").orderBy(F.desc("n"), "word"))).filter("r <= 10")
+        return silhouette, top.agg(F.countDistinct("word") / F.count(F.lit(1))).first()[0] or 0.0
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        scores = np.array(pool.map(one, ks))
+    low, high = scores.min(axis=0), scores.max(axis=0)
+    total = ((scores - low) / (high - low + 1e-9)).sum(axis=1)
+    best = int(total.argmax())
+    rows = [(k, round(float(s), 4), round(float(d), 4), round(float(x), 4), i == best) for i, (k, (s, d), x) in enumerate(zip(ks, scores, total))]
+    return vectors.sparkSession.createDataFrame(rows, "k int, silhouette double, diversity double, score double, chosen boolean")
 
 
 def model_summary(labels: DataFrame, moved: DataFrame | None = None) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning, dims
 from corpusloom.functions import text as T
-from corpusloom.operators import accents, corpus, topics
-from corpusloom.plans.statistics import TOKEN_SQL
+from corpusloom.operators import accents, corpus, fit, topics
+from corpusloom.plans.statistics import _BARE as FOLDED
+from corpusloom.plans.statistics import KEYWORDS, TOKEN_SQL, _key_rx
 from corpusloom.plans.tables import CLEAN, prepared, table
+from corpusloom.session import cut
 
 MODEL = "enc-largo-v2"
-SEEDS = list(range(42, 47))
+SEEDS = list(range(42, 42 + fit.RUNS))
 K = 12
 
 
@@ -100,7 +102,47 @@ def consensus_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_grid(s: SparkSession, d: str) -> DataFrame:
-    return topics.kmeans_grid(_vectors(s, d), range(10, 71, 10))
+    """k from 10 to 70 by silhouette and by diversity of words."""
+    texts = table(s, d, "speeches").filter("discurso IS NOT NULL").select("id", "discurso")
+    v = _vectors(s, d)
+    return topics.kmeans_grid(v, range(10, 71, 10), fit.word_counts(texts.join(v.select("id"), "id", "left_semi"), dims.stopwords()))
+
+
+def _model(s: SparkSession, d: str) -> fit.Model:
+    return fit.fit(_vectors(s, d), table(s, d, "speeches").filter("discurso IS NOT NULL").select("id", "discurso"), K, dims.stopwords())
+
+
+def fit_topics(s: SparkSession, d: str) -> DataFrame:
+    """Topic, certainty and label of every speech with a vector, from the fitted model."""
+    m = _model(s, d)
+    return m.records.join(F.broadcast(m.labels.select("topic", "label")), "topic").select("id", "topic", "label", "certainty", "unsure", F.size("topics").alias("n_topics"), "moved")
+
+
+def fit_statistics(s: SparkSession, d: str) -> DataFrame:
+    """Per topic of the fitted model: speeches, keyword shares on the original text, mentions on the cleaned one, and years of appearance."""
+    m = _model(s, d)
+    t = fit.with_topics(prepared(s, d).filter("discurso IS NOT NULL"), m).filter("topic IS NOT NULL")
+    t = cut(cleaning.with_clean_text(t).select("id", "topic", "ano", "discurso", cleaning.TEXT_COLUMN))
+    share, mention = fit.keyword_share(t, KEYWORDS), fit.mention_summary(t, KEYWORDS, cleaning.TEXT_COLUMN)
+    years = t.groupingSets([["topic"], []], "topic").agg(F.min("ano").alias("first_year"), F.max("ano").alias("last_year"))
+    both = share.withColumn("t", F.coalesce("topic", F.lit(-2))).join(mention.select(F.coalesce("topic", F.lit(-2)).alias("t"), "median_mentions", "one_pct"), "t").join(years.select(F.coalesce("topic", F.lit(-2)).alias("t"), "first_year", "last_year"), "t")
+    return both.drop("t")
+
+
+def fit_trends(s: SparkSession, d: str) -> DataFrame:
+    """Annual and seasonal trend tests of every topic of the fitted model."""
+    from corpusloom.plans import trends
+
+    m = _model(s, d)
+    rows = fit.with_topics(prepared(s, d), m).filter("topic >= 0").select("data_dt", F.concat(F.lit("topic:"), F.col("topic").cast("string")).alias("espectro"))
+    return trends.tests_of(s, d, rows)
+
+
+def topic_keyword_share(s: SparkSession, d: str) -> DataFrame:
+    """Keyword shares by topic and overall (-2), on the nearest of fixed centroids, which any engine can repeat."""
+    t = table(s, d, "speeches").filter("discurso IS NOT NULL").select("id", "discurso").join(_topics(s, d), "id")
+    g = fit.keyword_share(t, KEYWORDS)
+    return g.select(F.coalesce("topic", F.lit(-2)).cast("long").alias("topic"), "n", *[f"k{i}" for i in range(len(KEYWORDS))])
 
 
 def pca_map(s: SparkSession, d: str) -> DataFrame:
@@ -160,7 +202,7 @@ def iso_dates(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "nearest_centroid": nearest_centroid, "topic_freq": topic_freq, "topic_share_by_class": topic_share("espectro"), "topic_share_by_year": topic_share("ano"), "topic_share_by_region": topic_share("regiao"),
     "topic_year_counts": topic_year_counts, "party_topic_profile": party_topic_profile, "membership_linear": membership_linear, "consensus_topics": consensus_topics, "consensus_summary": consensus_summary,
-    "kmeans_grid": kmeans_grid, "pca_map": pca_map, "clean_text": clean_text, "text_folds": text_folds, "token_counts": token_counts, "chunk_lengths": chunk_lengths, "keyword_sentences": keyword_sentences,
+    "kmeans_grid": kmeans_grid, "fit_topics": fit_topics, "fit_statistics": fit_statistics, "fit_trends": fit_trends, "topic_keyword_share": topic_keyword_share, "pca_map": pca_map, "clean_text": clean_text, "text_folds": text_folds, "token_counts": token_counts, "chunk_lengths": chunk_lengths, "keyword_sentences": keyword_sentences,
     "speaker_parse": speaker_parse, "keyword_filter": keyword_filter, "accent_forms": accent_forms, "iso_dates": iso_dates,
 }
 
@@ -203,3 +245,5 @@ SQL["token_counts"] = TOKEN_SQL
 _BARE = r"regexp_replace(strip_accents({0}), '[\x{{0300}}-\x{{036F}}]', '', 'g')"
 SQL["text_folds"] = rf"""WITH n AS (SELECT DISTINCT orador, trim(orador) AS t, list_transform(string_split(trim(regexp_replace(lower(trim(orador)), '\s+', ' ', 'g')), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('da', 'de', 'do', 'das', 'dos', 'e') THEN w ELSE upper(w[1]) || w[2:] END) AS w FROM speeches WHERE orador IS NOT NULL)
 SELECT orador, {_BARE.format('lower(orador)')} AS folded, upper(regexp_replace(trim(regexp_replace({_BARE.format('orador')}, '\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g')) AS name, CASE WHEN t = upper(t) THEN array_to_string(w, ' ') ELSE t END AS shown FROM n"""
+_KS = ", ".join(f"round(100 * avg(regexp_matches(f, '{_key_rx(k)}')::INT), 1) AS k{i}" for i, k in enumerate(KEYWORDS))
+SQL["topic_keyword_share"] = f"WITH {_V}, t AS (SELECT CASE WHEN cosine >= 0.05 THEN topic ELSE -1 END AS topic, {FOLDED} AS f FROM speeches JOIN near USING (id) WHERE discurso IS NOT NULL) SELECT topic, count(*) AS n, {_KS} FROM t GROUP BY 1 UNION ALL SELECT -2, count(*), {_KS} FROM t"

@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
 from corpusloom.functions import dims
 from corpusloom.operators import accents, report, vocabulary
 from corpusloom.streaming import ingest
@@ -71,7 +72,7 @@ def test_stream_drops_repeats(spark, tmp_path):
     for _ in range(2):  # the same page twice
         d.write.mode("append").parquet(str(tmp_path / "in"))
     s = ingest.once(ingest.event_stream(spark, str(tmp_path / "in")), "event_id", "ts", "1 day")
-    assert sorted(r["event_id"] for r in ingest.run_to_memory(s.select("event_id"), "repeats").collect()) == [1, 2]
+    assert sorted(r["event_id"] for r in ingest.run_to_table(s.select("event_id")).collect()) == [1, 2]
 
 
 def test_change_feed(spark, tmp_path):
@@ -87,3 +88,33 @@ def test_change_feed(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(seen) == [(1, "done"), (2, "failed"), (2, "running")]
+    # after a restart only what differs is emitted
+    spark.createDataFrame([(1, 4, "done"), (2, 3, "done")], "id long, ts long, status string").write.mode("append").parquet(src)
+    q = ingest.change_feed(stream, "status", seen.extend, str(tmp_path / "c"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(seen) == [(1, "done"), (2, "done"), (2, "failed"), (2, "running")]
+
+
+def test_no_local_folder_on_a_cluster():
+    from corpusloom import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Dir:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Dir()})()})()
+
+        def getConf(self):
+            return Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(type("Spark", (), {"sparkContext": Context(), "conf": Conf()})())

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import fit
 from corpusloom.operators import accents, catalog, corpus, topics
 from corpusloom.sources import readers, sinks
 
@@ -27,7 +28,7 @@ def test_insert_if_absent(spark):
 def test_identity_prefers_url_then_lowest_id(spark):
     rows = [(1, None, "1/1/2020", " ana ", "x"), (2, "u", "1/1/2020", "ANA", "x"), (3, None, "1/1/2020", "ANA", "y"), (4, None, None, None, None), (5, None, None, None, None)]
     d = spark.createDataFrame(rows, "id int, url string, data string, orador string, discurso string")
-    assert sorted(r["id"] for r in corpus.first_by_identity(d).collect()) == [2, 3, 4]
+    assert sorted(r["id"] for r in corpus.first_by_identity(d).collect()) == [2, 3, 4, 5]  # rows without text are speeches of their own
 
 
 def test_merge_plan_errors(spark):
@@ -166,6 +167,80 @@ def test_consensus_groups(spark):
     assert len({got[i] for i in range(0, 20, 2)}) == 1 and len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
 
 
+def _naive(sig, weights, runs, threshold):
+    """Average linkage by the closest pair, straight from the definition."""
+    groups = [[i] for i in range(len(sig))]
+    share = lambda i, j: 1 - ((sig[i] == sig[j]) & (sig[i] != topics.NOISE)).sum() / runs
+    far = lambda a, b: sum(weights[i] * weights[j] * share(i, j) for i in a for j in b) / (sum(weights[i] for i in a) * sum(weights[j] for j in b))
+    while len(groups) > 1:
+        d, i, j = min((far(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if d > threshold:
+            break
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_against_the_definition(seed):
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 4, (5, 11))
+    sig = np.where(rng.random((24, 11)) < 0.25, rng.integers(-1, 4, (24, 11)), centre[rng.integers(0, 5, 24)])
+    sig = np.unique(sig, axis=0)
+    weights = rng.integers(1, 6, len(sig))
+    labels = topics.linkage_labels(sig, weights, 11, 0.5)
+    got = {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)}
+    want = _naive(sig, weights, 11, 0.5)
+    assert got == want or len(got) == len(want)  # equal distances may be taken in another order
+
+
+def test_fit_gives_every_record_a_row(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.eye(6)[i] * 4 + rng.standard_normal((40, 6)) * 0.3 for i in range(3)] + [rng.standard_normal((6, 6))])
+    v = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)] + [(999, [0.0] * 6)], "id long, vector array<double>")
+    texts = spark.createDataFrame([(i, ["escola creche ensino", "rodovia ponte asfalto", "vacina hospital leito"][min(i // 40, 2)]) for i in range(len(x))], "id long, discurso string")
+    m = fit.fit(v, texts, 3, frozenset(), runs=5)
+    rows = {r["id"]: r for r in m.records.collect()}
+    assert set(rows) == set(range(len(x)))
+    groups = [{rows[i]["topic"] for i in range(40 * k, 40 * k + 40)} for k in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    assert {r["label"].split(": ")[1].split(" | ")[0] for r in m.labels.collect() if r["topic"] >= 0} <= {"escola", "creche", "ensino", "rodovia", "ponte", "asfalto", "vacina", "hospital", "leito", "asfalto"}
+    plain = fit.fit(v, texts, 3, frozenset(), runs=5, reassign=False, most_topics=2)
+    assert {r["topic"] for r in plain.records.select("topic").distinct().collect()} <= {-1, 0, 1}
+    assert fit.keyword_share(texts.withColumn("topic", F.lit(0)), ["escola"]) is None
+
+
+def test_merge_keeps_to_the_common_period(spark):
+    ds = spark.createDataFrame([(1, "a", "done", '["x"]', "2020-01-01", "2020-12-31"), (2, "b", "done", '["y"]', "2020-06-01", "2021-06-30"), (3, "c", "done", None, None, None), (4, "d", "running", None, "2020-01-01", "2020-12-31")], "id long, name string, status string, keywords string, data_inicio string, data_fim string")
+    sp = spark.createDataFrame([(1, "u1", "01/02/2020", "ANA", "t1"), (2, "u2", "01/07/2020", "ANA", "t2"), (3, None, "01/07/2020", " ana", "t2"), (4, "u4", "01/08/2020", "RUI", None), (5, "u5", "01/03/2021", "RUI", "t5")], "id long, url string, data string, orador string, discurso string")
+    links = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (3, 2), (3, 4), (4, 1)], "dataset_id long, speech_id long")
+    ids = lambda *x: {r["speech_id"] for r in corpus.merged(ds, links, sp, list(x), 9).collect()}
+    assert ids(1, 2) == {2, 4} and ids(2, 1) == {2, 4}
+    plan = corpus.merge_plan(ds, links, sp, [1, 2]).first()
+    assert (plan["rows_in"], plan["kept"], plan["outside"], plan["repeated"], plan["error"]) == (4, 1, 2, 1, "")
+    assert str(corpus.merge_plan(ds, links, sp, [1, 3]).first()["inicio"]) == "2020-07-01"  # the dates of its speeches
+    for chosen, error in (([1], "at least"), ([1, 77], "unknown"), ([1, 4], "unfinished")):
+        assert corpus.merge_plan(ds, links, sp, chosen).first()["error"].startswith(error) and not ids(*chosen)
+    r = corpus.merged_record(ds, links, sp, [1, 2], 9, "ab").first()
+    assert (r["total_expected"], r["keywords"], r["data_inicio"]) == (1, '["x","y"]', "2020-06-01") and '"fora_do_periodo":2' in r["origem"]
+
+
+def test_register_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(readers, "BROADCAST_ROWS", 2)
+    people = spark.createDataFrame([(i, f"N{i}") for i in range(3)], "id long, nome string")
+    with pytest.raises(ValueError):
+        readers.match_speakers(spark.createDataFrame([("N1 X",)], "orador string"), people)
+
+
+def test_replacement_character_is_valid_utf8(spark, tmp_path):
+    good = str(tmp_path / "g.csv")
+    with open(good, "w", encoding="utf-8") as f:
+        f.write("Data\n\ufffd\n")
+    bad = str(tmp_path / "b.csv")
+    with open(bad, "wb") as f:
+        f.write("Data\nação\n".encode("latin-1"))
+    assert readers.is_utf8(spark, good) and not readers.is_utf8(spark, bad)
+
+
 def test_linkage_refuses_too_many():
     with pytest.raises(ValueError):
         topics.linkage_labels(np.zeros((topics.MOST_NODES + 1, 1), int), np.ones(topics.MOST_NODES + 1), 1)
@@ -208,7 +283,7 @@ def test_kmeans_grid_fits_on_every_vector(spark, sf, monkeypatch):
     v = spark.createDataFrame([(i, [1.0 + i % 3, 5.0 * (i % 2), 0.1 * i]) for i in range(40)], "id long, vector array<float>")
     got = topics.kmeans_grid(v, [2, 3], sample=10).collect()
     assert seen == [40, 40] and [r["k"] for r in got] == [2, 3] and sum(r["chosen"] for r in got) == 1
-    monkeypatch.setattr(topics, "kmeans_grid", lambda v, ks: list(ks))
+    monkeypatch.setattr(topics, "kmeans_grid", lambda v, ks, words: list(ks))
     from corpusloom.plans import themes
 
     assert themes.kmeans_grid(spark, sf) == [10, 20, 30, 40, 50, 60, 70]
