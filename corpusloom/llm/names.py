@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.encoding import repair
 from corpusloom.llm.words import plain
-from corpusloom.session import cut
+from corpusloom.session import broadcast_if_small, cut
 
 K = 2
 NOBODY = ("", "SEM NOME")
@@ -168,14 +168,13 @@ def forms_of(form: str) -> list[tuple[str, str, bool, bool]]:
     elif len(rest) >= 2 and len(rest[-1]) > 1:  # an initial in the middle
         out.append(("short", f"{given} {rest[-1]}", True, True))
     if rest and len(rest[-1]) > 1:
-        short = len(rest) == 1 or any(len(w) == 1 for w in rest)
-        out.append(("short", f"{given} {rest[-1]}", True, short))
-        if len(given) == 1 and len(rest) == 1:
+        out.append(("short", f"{given} {rest[-1]}", True, True))
+        if len(given) == 1 and all(len(w) == 1 for w in rest[:-1]):
             out.append(("initial", f"{given}{rest[-1]}", False, True))
         elif len(given) > 1:
             out.append(("initial", f"{given[0]}{rest[-1]}", True, False))
         nick = _NICK.get(given)
-        if nick and len(rest) == 1:
+        if nick:
             out += [("short", f"{x} {rest[-1]}", False, True) for x in nick]
     return sorted(set(out))
 
@@ -280,7 +279,12 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     r = nodes.select("form", "rank")
     up = edges.join(r.withColumnRenamed("form", "a").withColumnRenamed("rank", "ra"), "a").join(r.withColumnRenamed("form", "b").withColumnRenamed("rank", "rb"), "b")
     up = up.filter(F.col("rb") > F.col("ra")).groupBy(F.col("a").alias("form")).agg(F.max_by("b", F.struct("rb", (-F.col("edits")).alias("e"))).alias("root"))
-    ptr = cut(nodes.select("form").join(up, "form", "left").select("form", F.coalesce("root", "form").alias("root")))
+    return followed(nodes.select("form").join(up, "form", "left").select("form", F.coalesce("root", "form").alias("root")))
+
+
+def followed(ptr: DataFrame) -> DataFrame:
+    """(form, root) with every pointer followed to its end; pointers go up in a total order, and chains are halved each round until none moves."""
+    ptr = cut(ptr)
     while True:
         nxt = ptr.join(ptr.select(F.col("form").alias("root"), F.col("root").alias("root2")), "root").select("form", F.col("root2").alias("root"), (F.col("root2") != F.col("root")).alias("moved"))
         nxt = cut(nxt)
@@ -289,6 +293,19 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ptr = nxt.select("form", "root")
 
 
+#: Entries of one key that a task joins at once.
+KEY_BLOCK = 2_000
+
+
+def in_blocks(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """The join on ``key``, the entries of a frequent key (a common surname's segment) in blocks that its queries meet one by one."""
+    hot = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > KEY_BLOCK).select("key", F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("blocks"))
+    hot = broadcast_if_small(cut(hot))
+    e = entries.join(hot, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))).drop("blocks")
+    q = queries.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return q.join(e, ["key", "block"])
+
+
 def _to_person(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.assign(form=[person(v) for v in pdf["value"]])
@@ -314,7 +331,7 @@ def person_links(values: DataFrame) -> DataFrame:
     keys = cut(forms.select("form").mapInPandas(_index, _forms_schema))
     entries = keys.filter("entry").select(F.col("form").alias("b"), F.col("s").alias("sb"), "key")
     queries = keys.filter("query").select(F.col("form").alias("a"), F.col("s").alias("sa"), "key")
-    pairs = queries.join(entries, "key").filter("a <> b").select("a", "b", "sa", "sb").distinct()
+    pairs = in_blocks(queries, entries).filter("a <> b").select("a", "b", "sa", "sb").distinct()
     links = pairs.repartition("a", "b").mapInPandas(_verify(shared), "a string, b string, edits int")
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits")).groupBy("a", "b").agg(F.min("edits").alias("edits")))
     full = F.pandas_udf(_fullness(shared), "int")
@@ -458,6 +475,27 @@ def _party_links(shared):
     return run
 
 
+def _party_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments of a party's short and full names; of a full name also its initials, so a short name meets it."""
+    for pdf in batches:
+        out = set()
+        for value, n in zip(pdf["value"], pdf["n"]):
+            for f in party(value):
+                bare = f.replace(".", "")
+                words = [w.rstrip(".") for w in _words(f)]
+                names = {bare} | ({"".join(w[0] for w in words)} if len(words) > 1 else set())
+                for x in names:
+                    out.update((value, n, key, False) for key in index_keys(x, K))
+                    out.update((value, n, key, True) for key in probe_keys(x, K))
+        yield pd.DataFrame(sorted(out), columns=["value", "n", "key", "probe"])
+
+
+def _party_verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        fits = [party_fit(party(a), party(b)) for a, b in zip(pdf["a"], pdf["b"])]
+        yield pdf.assign(fit=fits).dropna(subset=["fit"]).astype({"fit": int})
+
+
 def party_roots(values: DataFrame, by_speaker: DataFrame) -> DataFrame:
     """(value, root) of the spellings of parties.
 
@@ -489,16 +527,16 @@ def party_roots(values: DataFrame, by_speaker: DataFrame) -> DataFrame:
     voted = voted.groupBy("a").agg(F.max_by("b", F.struct("share", "nb", "b")).alias("b"), F.max("share").alias("share"))
     ruled = best.select("a", "b", F.when(F.col("fit") <= 1, F.lit(2.0)).otherwise(F.lit(0.1)).alias("by"))
     chosen = ruled.unionByName(voted.select("a", "b", F.col("share").alias("by"))).groupBy("a").agg(F.max_by("b", "by").alias("b"))
-    edges = chosen.select("a", "b", F.lit(0).alias("edits"))
+    # what no anchor takes, a party whose spellings are all rare, is held against itself by the segment index
+    lone = cut(v.join(chosen.select(F.col("a").alias("value")), "value", "left_anti").join(spark.createDataFrame([(x,) for x, _ in anchors], "value string"), "value", "left_anti"))
+    keyed = lone.mapInPandas(_party_keys, "value string, n long, key string, probe boolean")
+    e = keyed.filter("NOT probe").select(F.col("value").alias("b"), F.col("n").alias("nb"), "key")
+    q = keyed.filter("probe").select(F.col("value").alias("a"), F.col("n").alias("na"), "key")
+    met = in_blocks(q, e).filter((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))).select("a", "b", "nb").distinct()
+    rare = met.mapInPandas(_party_verify, "a string, b string, nb long, fit int").groupBy("a").agg(F.max_by("b", F.struct((-F.col("fit")).alias("f"), "nb", "b")).alias("b"))
+    edges = chosen.select("a", "b").unionByName(rare)
     nodes = v.select(F.col("value").alias("form"))
-    ptr = cut(nodes.select("form").join(edges.select(F.col("a").alias("form"), F.col("b").alias("root")), "form", "left").select("form", F.coalesce("root", "form").alias("root")))
-    for _ in range(12):  # links go up in (rows, name), so chains end
-        nxt = ptr.join(ptr.select(F.col("form").alias("root"), F.col("root").alias("root2")), "root").select("form", F.col("root2").alias("root"), (F.col("root2") != F.col("root")).alias("moved"))
-        nxt = cut(nxt)
-        ptr = nxt.select("form", "root")
-        if not nxt.filter("moved").limit(1).count():
-            break
-    return ptr.select(F.col("form").alias("value"), "root")
+    return followed(nodes.join(edges.select(F.col("a").alias("form"), F.col("b").alias("root")), "form", "left").select("form", F.coalesce("root", "form").alias("root"))).select(F.col("form").alias("value"), "root")
 
 
 # ---------------------------------------------------------------- both fields

@@ -89,3 +89,28 @@ def test_large_root_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK", 3)
     d = spark.createDataFrame([("orador", f"n{i:02}", "r") for i in range(20)], "field_name string, value string, root string")
     assert names.pairs(d).count() == 190
+
+
+def test_party_of_rare_spellings_only(spark, monkeypatch):
+    """A party none of whose spellings is frequent enough for an anchor is linked all the same."""
+    monkeypatch.setattr(names, "PARTY_SHARE", 0.05)
+    values = [("PARTIDO DAS ÁGUAS", 3), ("PARTIDO DAS AGUAS", 2), ("Partido das Ágguas", 1), ("PLUM", 5000)]
+    v = spark.createDataFrame(values, "value string, n long")
+    by = spark.createDataFrame([], "speaker string, value string, n long")
+    got = {r["value"]: r["root"] for r in names.party_roots(v, by).collect()}
+    assert got["PARTIDO DAS AGUAS"] == got["Partido das Ágguas"] == "PARTIDO DAS ÁGUAS" and got["PLUM"] == "PLUM"
+
+
+def test_frequent_keys_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(names, "KEY_BLOCK", 7)
+    q = spark.createDataFrame([(f"a{i}", "k" if i < 30 else "r") for i in range(40)], "a string, key string")
+    e = spark.createDataFrame([(f"b{i}", "k" if i < 50 else "r") for i in range(55)], "b string, key string")
+    got = {(r["a"], r["b"]) for r in names.in_blocks(q, e).collect()}
+    assert got == {(f"a{i}", f"b{j}") for i in range(40) for j in range(55) if (i < 30) == (j < 50)}
+    assert names.in_blocks(q, e).select("block").distinct().count() == 8
+
+
+def test_dropped_middle_names_and_double_initials(spark):
+    v = spark.createDataFrame([("MARIA HELENA SOUSA LIMA", 9), ("Maria Helena Lima", 1), ("JOSÉ SILVA SANTOS", 9), ("J. S. Santos", 1), ("CARLOS DIAS ROCHA", 5)], "value string, n long")
+    got = {r["value"]: r["root"] for r in names.person_links(v).collect()}
+    assert got["Maria Helena Lima"] == got["MARIA HELENA SOUSA LIMA"] and got["J. S. Santos"] == got["JOSÉ SILVA SANTOS"] and got["CARLOS DIAS ROCHA"] not in (got["J. S. Santos"], got["Maria Helena Lima"])
