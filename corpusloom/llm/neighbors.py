@@ -34,7 +34,7 @@ K_NEIGHBOURS = 5
 #: Vectors per model the centroids are fitted on; every vector is indexed.
 FIT_SAMPLE = 20_000
 #: Entries and queries of one region's block.
-ENTRY_BLOCK, QUERY_BLOCK = 65_536, 65_536
+ENTRY_BLOCK, QUERY_BLOCK = 65_536, 32_768
 #: Entries a region holds on average.
 REGION = 6_000
 #: Sampled queries that tell how many queries reach each region.
