@@ -168,7 +168,9 @@ def forms_of(form: str) -> list[tuple[str, str, bool, bool]]:
     elif len(rest) >= 2 and len(rest[-1]) > 1:  # an initial in the middle
         out.append(("short", f"{given} {rest[-1]}", True, True))
     if rest and len(rest[-1]) > 1:
-        out.append(("short", f"{given} {rest[-1]}", True, True))
+        short = len(rest) == 1 or any(len(w) == 1 for w in rest)
+        out.append(("short", f"{given} {rest[-1]}", True, short))
+        out.append(("ends", f"{given} {rest[-1]}", True, True))  # words between may be dropped, the rest then is typed alike
         if len(given) == 1 and all(len(w) == 1 for w in rest[:-1]):
             out.append(("initial", f"{given}{rest[-1]}", False, True))
         elif len(given) > 1:
@@ -248,7 +250,7 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for form in pdf["form"]:
             for kind, s, entry, query in forms_of(form):
-                k = 1 if kind == "initial" else K
+                k = {"initial": 1, "ends": 0}.get(kind, K)
                 if entry:
                     out += [(form, kind, s, f"{kind}|{x}", True, False) for x in index_keys(s, k)]
                 if query:
