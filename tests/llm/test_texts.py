@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import distinctive_terms, leaks, packing, quality, turns
-from corpusloom.llm.words import words
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from oracle import assert_same, connect  # noqa: E402
+
+from corpusloom.llm import distinctive_terms, leaks, packing, quality, turns  # noqa: E402
+from corpusloom.llm.words import words  # noqa: E402
 
 # ---------------------------------------------------------------- turns
 
@@ -73,6 +78,19 @@ def test_terms_edge_cases(spark):
     assert distinctive_terms.scores(distinctive_terms.Collection(empty)).count() == 0 and distinctive_terms.group_scores(distinctive_terms.Collection(empty)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [
+    [(i, "A", "casa casa casa casa") for i in range(5)],  # no rarer than chance has it
+    [(1, "A", "casa casa casa casa mesa"), (2, "A", "casa mesa"), (3, "B", "casa"), (4, None, "casa"), (5, "B", "casa outra outra outra outra")],
+    [(1, "A", "casa casa"), (1, "A", "casa casa mesa"), (1, "B", "mesa mesa"), (2, "B", "casa"), (3, "B", "mesa"), (9, "B", "outro")],  # an id in several rows
+    [(None, "A", "casa casa casa casa"), (None, "A", "casa"), (None, None, "casa casa"), (None, None, "casa casa"), (2, "B", "casa"), (3, "B", "mesa")],
+    [(1, "A", "\x0b"), (2, "A", " \n"), (3, "A", "casa casa casa casa"), (4, "A", "casa"), (5, "B", ""), (6, "B", None)],
+])
+def test_terms_as_sql_has_them(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "id long, partido string, discurso string").write.parquet(f"{tmp_path}/speeches.parquet")
+    for name, query in distinctive_terms.QUERIES.items():
+        assert_same(query(spark, str(tmp_path)).toPandas(), connect(str(tmp_path)).execute(distinctive_terms.SQL[name]).df())
+
+
 # ---------------------------------------------------------------- leaks
 
 
