@@ -308,6 +308,11 @@ def in_blocks(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return q.join(e, ["key", "block"])
 
 
+def maybe_near(a: str, b: str) -> F.Column:
+    """Holds for all pairs within K of ``banded``: a swap is two plain edits, and lost characters fit any one."""
+    return (F.levenshtein(F.col(a), F.col(b), 2 * K) >= 0) | F.col(a).rlike("[?\ufffd]") | F.col(b).rlike("[?\ufffd]")
+
+
 def _to_person(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.assign(form=[person(v) for v in pdf["value"]])
@@ -333,8 +338,9 @@ def person_links(values: DataFrame) -> DataFrame:
     keys = cut(forms.select("form").mapInPandas(_index, _forms_schema))
     entries = keys.filter("entry").select(F.col("form").alias("b"), F.col("s").alias("sb"), "key")
     queries = keys.filter("query").select(F.col("form").alias("a"), F.col("s").alias("sa"), "key")
-    pairs = in_blocks(queries, entries).filter("a <> b").select("a", "b", "sa", "sb").distinct()
-    links = pairs.repartition("a", "b").mapInPandas(_verify(shared), "a string, b string, edits int")
+    # pairs grow as the square of the names: they are judged where they meet and never moved; one that meets under several keys is judged again
+    pairs = in_blocks(queries, entries).filter(F.col("a") != F.col("b")).filter(maybe_near("sa", "sb")).select("a", "b", "sa", "sb")
+    links = pairs.mapInPandas(_verify(shared), "a string, b string, edits int")
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits")).groupBy("a", "b").agg(F.min("edits").alias("edits")))
     full = F.pandas_udf(_fullness(shared), "int")
     nodes = forms.withColumn("full", full("form")).select("form", F.struct(F.when(F.col("full") >= 5, F.lit(1)).otherwise(F.lit(0)).alias("complete"), "n", "full", "form").alias("rank"))
@@ -493,7 +499,7 @@ def _party_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _party_verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in (x.drop_duplicates() for x in batches):
         fits = [party_fit(party(a), party(b)) for a, b in zip(pdf["a"], pdf["b"])]
         yield pdf.assign(fit=fits).dropna(subset=["fit"]).astype({"fit": int})
 
@@ -534,7 +540,7 @@ def party_roots(values: DataFrame, by_speaker: DataFrame) -> DataFrame:
     keyed = lone.mapInPandas(_party_keys, "value string, n long, key string, probe boolean")
     e = keyed.filter("NOT probe").select(F.col("value").alias("b"), F.col("n").alias("nb"), "key")
     q = keyed.filter("probe").select(F.col("value").alias("a"), F.col("n").alias("na"), "key")
-    met = in_blocks(q, e).filter((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))).select("a", "b", "nb").distinct()
+    met = in_blocks(q, e).filter((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))).select("a", "b", "nb")
     rare = met.mapInPandas(_party_verify, "a string, b string, nb long, fit int").groupBy("a").agg(F.max_by("b", F.struct((-F.col("fit")).alias("f"), "nb", "b")).alias("b"))
     edges = chosen.select("a", "b").unionByName(rare)
     nodes = v.select(F.col("value").alias("form"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -114,3 +115,47 @@ def test_dropped_middle_names_and_double_initials(spark):
     v = spark.createDataFrame([("MARIA HELENA SOUSA LIMA", 9), ("Maria Helena Lima", 1), ("JOSÉ SILVA SANTOS", 9), ("J. S. Santos", 1), ("CARLOS DIAS ROCHA", 5)], "value string, n long")
     got = {r["value"]: r["root"] for r in names.person_links(v).collect()}
     assert got["Maria Helena Lima"] == got["MARIA HELENA SOUSA LIMA"] and got["J. S. Santos"] == got["JOSÉ SILVA SANTOS"] and got["CARLOS DIAS ROCHA"] not in (got["J. S. Santos"], got["Maria Helena Lima"])
+
+
+def test_pairs_that_meet_are_not_moved(spark):
+    """Names that share a given name meet each other, so pairs grow as their square; what is shuffled follows the names."""
+    def moved(n):
+        r = random.Random(n)
+        v = [("EDUARDO " + "".join(r.choice("BCDFGLMNPRST") + r.choice("AEIOU") for _ in range(4)), 1) for _ in range(n)]
+        before = shuffled(spark)
+        assert names.person_links(spark.createDataFrame(v, "value string, n long")).count() == n
+        return shuffled(spark) - before
+
+    assert moved(1_200) < 7 * moved(300)
+
+
+def shuffled(spark) -> int:
+    """Bytes written to shuffle files so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    time.sleep(0.3)
+    return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_first_look_at_a_pair_loses_none(spark):
+    r = random.Random(5)
+    pairs = []
+    for _ in range(3_000):
+        a = "".join(r.choice("ABCDE ") for _ in range(r.randint(3, 12)))
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(b) + 1)
+            kind = r.randrange(4)
+            if kind == 0:
+                b.insert(i, r.choice("ABCDE?�"))
+            elif kind == 1 and i < len(b):
+                b[i] = r.choice("ABCDE?�")
+            elif kind == 2 and i + 1 < len(b):
+                b[i], b[i + 1] = b[i + 1], b[i]
+            elif len(b) > 2 and i < len(b):
+                del b[i]
+        pairs.append((a, "".join(b)))
+    pairs += [("ABCDEFGH", "BADCEFGH"), ("ABCDEFGHIJKL", "??????GHIJKL")]
+    kept = {(x["a"], x["b"]) for x in spark.createDataFrame(pairs, "a string, b string").filter(names.maybe_near("a", "b")).collect()}
+    near = {(a, b) for a, b in pairs if names.banded(a, b, names.K) <= names.K}
+    assert near <= kept and len(near) > 1_000
