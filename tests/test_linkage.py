@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from corpusloom.operators import linkage, topics
+from corpusloom.operators import fit, linkage, topics
 
 
 def _signatures(seed, n, runs, k):
@@ -67,3 +67,13 @@ def test_equal_signatures_with_noise_are_one_node(spark, monkeypatch):
     got = {r["id"]: r["topic"] for r in t.collect()}
     assert seen == [2]  # 20 records that were noise twice, 20 that never were; those with one run are within the cut of none
     assert {got[i] for i in range(20)} == {0} and {got[i] for i in range(20, 40)} == {1} and {got[i] for i in range(50, 60)} == {-1}
+
+
+def test_the_model_takes_any_number_of_signatures(spark, monkeypatch):
+    monkeypatch.setattr(topics, "MOST_NODES", 1)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.eye(6)[i] * 4 + rng.standard_normal((30, 6)) * 0.4 for i in range(3)])
+    v = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+    texts = spark.createDataFrame([(i, "escola creche ensino") for i in range(len(x))], "id long, discurso string")
+    rows = {r["id"]: r["topic"] for r in fit.fit(v, texts, 3, frozenset(), runs=3).records.collect()}
+    assert len(rows) == 90 and all(len({rows[i] for i in range(30 * k, 30 * k + 30)}) == 1 for k in range(3)) and len(set(rows.values())) == 3
