@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,18 @@ def test_the_model_takes_any_number_of_signatures(spark, monkeypatch):
     texts = spark.createDataFrame([(i, "escola creche ensino") for i in range(len(x))], "id long, discurso string")
     rows = {r["id"]: r["topic"] for r in fit.fit(v, texts, 3, frozenset(), runs=3).records.collect()}
     assert len(rows) == 90 and all(len({rows[i] for i in range(30 * k, 30 * k + 30)}) == 1 for k in range(3)) and len(set(rows.values())) == 3
+
+
+def test_fits_are_few_at_once_and_freed_in_between(spark, monkeypatch):
+    running, most, freed = [], [], []
+
+    def one(k):
+        running.append(k)
+        time.sleep(0.2)
+        most.append(len(running))
+        running.remove(k)
+        return k * k
+
+    monkeypatch.setattr(topics, "release", lambda s: freed.append(len(running)))
+    assert topics._side_by_side(spark, one, range(7)) == [k * k for k in range(7)]
+    assert max(most) == topics.FITS_AT_ONCE == 2 and freed == [0, 0, 0, 0]
